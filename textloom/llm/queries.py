@@ -1,0 +1,20 @@
+"""The registered queries of the operators, with production parameters over whole tables, and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from textloom.llm.common import table
+from textloom.llm.suffix_dedup import suffix_dedup
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), length=50)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+}
+ORACLES: dict[str, str] = {}
