@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textloom.llm.common import table
+from textloom.llm.line_dedup import line_dedup
+from textloom.llm.mixing import PART, STEPS, mix_sources
 from textloom.llm.suffix_dedup import suffix_dedup
 
 
@@ -14,7 +18,56 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), length=50)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup(docs, min_docs=10, min_chars=1, report=True).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix_sources(docs, seed=1).select("doc_id", "source", "copy", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op4_line_dedup": op4_line_dedup,
+    "op6_source_mix": op6_source_mix,
+}
+
+_STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def line_sql(docs: str, min_docs: int = 10, min_chars: int = 1) -> str:
+    """Common table expressions; line_kept has doc_id, n_lines, n_dropped and kept of each row of ``docs``."""
+    return f"""
+line_rows AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM {docs}),
+line_all AS (SELECT doc_id, i, ls[i] AS line, translate(trim(ls[i], {_STRIP}), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS k
+             FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM line_rows)),
+line_hot AS (SELECT k FROM (SELECT DISTINCT doc_id, k FROM line_all) WHERE length(k) >= {min_chars} GROUP BY k HAVING count(*) >= {min_docs}),
+line_kept AS (SELECT doc_id, count(*) AS n_lines, count(h.k) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE h.k IS NULL), '') AS kept
+              FROM line_all a LEFT JOIN line_hot h ON a.k = h.k GROUP BY doc_id)"""
+
+
+def mix_sql(docs: str, seed: int = 1) -> str:
+    """Common table expressions; mix_out has doc_id, source and copy of each copy of a row of ``docs``."""
+    return f"""
+mix_n AS (SELECT source, count(*) AS n FROM {docs} GROUP BY source),
+mix_mean AS (SELECT source, CAST(1.0 AS DOUBLE) * (SELECT sum(n) FROM mix_n)::DOUBLE / ((SELECT count(*) FROM mix_n)::DOUBLE * n::DOUBLE) AS mean FROM mix_n),
+mix_part AS (SELECT source, greatest(1, ceil(mean / {PART}))::INT AS parts, mean / greatest(1, ceil(mean / {PART})) AS part FROM mix_mean),
+mix_cdf AS (SELECT * FROM (
+    WITH RECURSIVE steps AS (
+        SELECT source, parts, part, 0 AS k, exp(-part) AS p, exp(-part) AS c FROM mix_part
+        UNION ALL
+        SELECT source, parts, part, k + 1, p * part / (k + 1), c + p * part / (k + 1) FROM steps WHERE k < {STEPS - 1})
+    SELECT * FROM steps)),
+mix_u AS (SELECT d.doc_id, d.source, j,
+                 (CAST('0x' || substr(md5('{seed}|' || coalesce(d.doc_id::VARCHAR, 'null') || '|' || j::VARCHAR), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
+          FROM (SELECT d.doc_id, d.source, unnest(range(1, r.parts + 1)) AS j FROM {docs} d JOIN mix_part r ON d.source IS NOT DISTINCT FROM r.source) d),
+mix_count AS (SELECT u.doc_id, u.source, count(*) AS n FROM mix_u u JOIN mix_cdf c ON u.source IS NOT DISTINCT FROM c.source AND c.c < u.u GROUP BY u.doc_id, u.source),
+mix_out AS (SELECT doc_id, source, unnest(range(1, n + 1))::INT AS copy FROM mix_count)"""
+
+
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": f"WITH {line_sql('documents')} SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM line_kept",
+    "op6_source_mix": f"WITH {mix_sql('documents')} SELECT m.doc_id, m.source, m.copy, d.text FROM mix_out m JOIN documents d ON m.doc_id = d.doc_id",
 }
-ORACLES: dict[str, str] = {}
