@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import table
 from textloom.llm.line_dedup import line_dedup
 from textloom.llm.mixing import PART, STEPS, mix_sources
+from textloom.llm.simhash import simhash_groups
 from textloom.llm.suffix_dedup import suffix_dedup
 
 
@@ -28,10 +29,15 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, seed=1).select("doc_id", "source", "copy", "text")
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"), words=3, bits=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op6_source_mix": op6_source_mix,
+    "op7_simhash_dedup": op7_simhash_dedup,
 }
 
 _STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
