@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import table
 from textloom.llm.line_dedup import line_dedup
 from textloom.llm.mixing import PART, STEPS, mix_sources
+from textloom.llm.piece_bpe import encode_texts
 from textloom.llm.simhash import simhash_groups
 from textloom.llm.suffix_dedup import suffix_dedup
 
@@ -24,6 +25,18 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs, min_docs=10, min_chars=1, report=True).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def piece_model_path() -> str:
+    """The vocabulary file of the 32k BPE model, as installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op5_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_texts(docs, piece_model_path()).select("doc_id", "tokens.n_tokens", "tokens.ids_sha256", "tokens.decoded_sha256")
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix_sources(docs, seed=1).select("doc_id", "source", "copy", "text")
@@ -36,6 +49,7 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op4_line_dedup": op4_line_dedup,
+    "op5_piece_bpe": op5_piece_bpe,
     "op6_source_mix": op6_source_mix,
     "op7_simhash_dedup": op7_simhash_dedup,
 }
