@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -239,12 +240,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, id_c
             same = (x.ids[x.doc[pick[a:b]]] == np.array(docs_, np.int64)[class_]).astype(np.uint8)
             head = np.array([len(texts_), b - a], np.uint32)
             parts = [head, np.array(docs_, np.int64), np.array([len(t) for t in texts_], np.uint16), np.array(class_, np.uint32), pick[a:b].astype(np.uint32), same]
-            rows.append((bucket, key[0], b"".join(p.tobytes() for p in parts) + b"".join(texts_)))
+            rows.append((bucket, key[0], zstandard.compress(b"".join([*(p.tobytes() for p in parts), *texts_]), 1)))
         return pd.DataFrame(rows, columns=cols)
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
         pieces, seen = [], {}
-        for blob in pdf["blob"]:
+        for blob in map(zstandard.decompress, pdf["blob"]):
             c, r = (int(v) for v in np.frombuffer(blob, np.uint32, 2))
             at, got = 8, []
             for kind, m in ((np.int64, c), (np.uint16, c), (np.uint32, r), (np.uint32, r), (np.uint8, r)):
