@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import table
+from textloom.llm.language_id import held_out, identify, learn
 from textloom.llm.line_dedup import line_dedup
 from textloom.llm.mixing import PART, STEPS, mix_sources
 from textloom.llm.piece_bpe import encode_texts
@@ -20,6 +21,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), length=50)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out())
+    known = learn(docs.where("NOT held_out"))
+    return identify(docs.drop("lang"), known).select("doc_id", "held_out", "language.lang_pred", "language.score")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs, min_docs=10, min_chars=1, report=True).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -48,6 +55,7 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op3_language_id": op3_language_id,
     "op4_line_dedup": op4_line_dedup,
     "op5_piece_bpe": op5_piece_bpe,
     "op6_source_mix": op6_source_mix,
