@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import table
+from textloom.llm.html_text import extract_html
 from textloom.llm.language_id import held_out, identify, learn
 from textloom.llm.line_dedup import line_dedup
 from textloom.llm.mixing import PART, STEPS, mix_sources
@@ -53,6 +54,11 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), words=3, bits=2)
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_html(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_language_id": op3_language_id,
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_piece_bpe": op5_piece_bpe,
     "op6_source_mix": op6_source_mix,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_html_text": op8_html_text,
 }
 
 _STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
