@@ -198,9 +198,9 @@ def _masks(text: np.ndarray, begin: np.ndarray, count: np.ndarray, docs: np.ndar
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (see the module's text)."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = texts.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition("batch")
+    texts = texts.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(2 * n)).cast("int")).repartition("batch")
 
     def probe(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         h = np.unique(Batch(pdf["doc_id"], pdf["text"], length, kgram).owner)
