@@ -57,6 +57,11 @@ def test_matches_brute_force_on_the_given_table(spark, sf_dir):
     assert result(suffix_dedup(df, 50)) == brute(rows, 50)
 
 
+def test_short_texts_alone(spark):
+    rows = [(1, "a"), (2, ""), (3, None)]
+    assert result(suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows, 50)
+
+
 def test_empty_table_and_null_ids(spark):
     assert suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = spark.createDataFrame([(None, "p" * 60), (1, "p" * 60)], "doc_id long, text string")

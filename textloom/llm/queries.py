@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import table
 from textloom.llm.html_text import extract_html
 from textloom.llm.language_id import held_out, identify, learn
+from textloom.llm.lattice_dedup import lattice_dedup
 from textloom.llm.line_dedup import line_dedup
 from textloom.llm.mixing import PART, STEPS, mix_sources
 from textloom.llm.piece_bpe import encode_texts
@@ -22,6 +23,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), length=50)
 
 
+def op2_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out())
     known = learn(docs.where("NOT held_out"))
@@ -61,6 +66,7 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_lattice_dedup": op2_lattice_dedup,
     "op3_language_id": op3_language_id,
     "op4_line_dedup": op4_line_dedup,
     "op5_piece_bpe": op5_piece_bpe,
