@@ -14,6 +14,7 @@ from textloom.llm.language_id import held_out, identify, learn
 from textloom.llm.lattice_dedup import lattice_dedup
 from textloom.llm.line_dedup import line_dedup
 from textloom.llm.mixing import PART, STEPS, mix_sources
+from textloom.llm.ordinal_quality import MAX_TRAIN, fit, score
 from textloom.llm.piece_bpe import encode_texts
 from textloom.llm.simhash import simhash_groups
 from textloom.llm.suffix_dedup import suffix_dedup
@@ -64,6 +65,15 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
 
 
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 toxic, 1 neither toxic nor of quality, 2 of quality and not toxic; ``keep`` selects what is likely of grade 2."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grade = F.when(F.col("toxic") == 1, 0).otherwise(1 + F.col("quality"))
+    model = fit(docs, table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade")), n_grades=3, max_train=MAX_TRAIN)
+    out = score(docs, model, n_grades=3, tail=2)
+    return out.select("doc_id", "quality.expected_grade", "quality.tail_prob", (F.col("quality.tail_prob") >= 0.5).alias("keep"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_lattice_dedup": op2_lattice_dedup,
@@ -73,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mix": op6_source_mix,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_html_text": op8_html_text,
+    "op9_ordinal_quality": op9_ordinal_quality,
 }
 
 _STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
