@@ -14,6 +14,7 @@ from textloom.llm.language_id import held_out, identify, learn
 from textloom.llm.lattice_dedup import lattice_dedup
 from textloom.llm.line_dedup import line_dedup
 from textloom.llm.mixing import PART, STEPS, mix_sources
+from textloom.llm.mtree_search import mtree_search
 from textloom.llm.ordinal_quality import MAX_TRAIN, fit, score
 from textloom.llm.piece_bpe import encode_texts
 from textloom.llm.simhash import simhash_groups
@@ -74,6 +75,10 @@ def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "quality.expected_grade", "quality.tail_prob", (F.col("quality.tail_prob") >= 0.5).alias("keep"))
 
 
+def op10_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_lattice_dedup": op2_lattice_dedup,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_html_text": op8_html_text,
     "op9_ordinal_quality": op9_ordinal_quality,
+    "op10_mtree_search": op10_mtree_search,
 }
 
 _STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -121,5 +127,12 @@ mix_out AS (SELECT doc_id, source, unnest(range(1, n + 1))::INT AS copy FROM mix
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": f"WITH {line_sql('documents')} SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM line_kept",
+    "op10_mtree_search": """
+        WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+                   FROM q a JOIN q b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 20 = 0),
+             r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+        SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 20""",
     "op6_source_mix": f"WITH {mix_sql('documents')} SELECT m.doc_id, m.source, m.copy, d.text FROM mix_out m JOIN documents d ON m.doc_id = d.doc_id",
 }
