@@ -10,6 +10,10 @@ order of a value's fingerprints are compared, and those within ``bits`` become l
 of one value are all within 2 of each other, at most 65 of them, so links of neighbours lose nothing of a group;
 for more bits all pairs under a value are verified.  Copies share a fingerprint and are one row throughout.
 
+``near_copies`` uses the same hashing for a similarity of shingle sets: random subsets of ``SUBSET`` of the 64 bits each take part
+in the ball hashing with radius 1, so that copies too far apart for one ball of 64 bits still meet; what meets as neighbours is
+verified by the exact Jaccard similarity of the texts' sets of ``words``-word shingles.
+
 Defined results: null texts count as empty; documents without words link with each other; rows that repeat a doc_id give
 a row each; a null doc_id is never a component's id unless all ids of the component are null; an empty
 table gives an empty result; other columns are ignored.
@@ -19,11 +23,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from random import Random
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,6 +36,7 @@ from textloom.llm.common import written
 from textloom.llm.components import components
 
 SEED, BLOCK = 42, 1 << 16
+SUBSET, SUBSETS, PROBE_WORDS, FAR = 32, 6, 3, 12
 
 
 def simhash(text: str | None, words: int) -> int:
@@ -90,3 +96,78 @@ def simhash_groups(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str =
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.join(ids, "root").select("fp", "component_id")
     return own.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct 32-bit hashes of the shingles, in order; empty without words."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    k = min(words, len(found))
+    hashes = {xxhash.xxh32_intdigest(b" ".join(found[i : i + k])) for i in range(len(found) - k + 1)} if found else set()
+    return np.array(sorted(hashes), "<u4")
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two packed sets; 1 if both are empty."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def _text_key(text_col: str) -> Column:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.concat(F.lpad(F.hex(F.xxhash64(text)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(7), text)), 16, "0"))
+
+
+def _subset_links(fps: DataFrame) -> DataFrame:
+    """Pairs (u, v) of distinct fingerprints that are neighbours under a common value of some subset's bits."""
+    rng = Random(SEED)
+    masks = []
+    for t in range(SUBSETS):
+        bits = sorted(rng.sample(range(64), SUBSET))
+        keep = sum(1 << b for b in bits)
+        masks += [(t, keep, 0), *((t, keep, 1 << b) for b in bits)]
+    signed = [f"named_struct('t', {t}, 'keep', {k - (1 << 64) if k >> 63 else k}L, 'flip', {f - (1 << 64) if f >> 63 else f}L)" for t, k, f in masks]
+    signed = [x.replace("-9223372036854775808L", "shiftleft(1L, 63)") for x in signed]
+    near = fps.select("fp", F.explode(F.expr(f"array({', '.join(signed)})")).alias("m"))
+    value = F.xxhash64("m.t", (F.col("fp").bitwiseXOR(F.col("m.flip"))).bitwiseAND(F.col("m.keep")))
+    before = F.lag("fp").over(Window.partitionBy("value").orderBy("fp"))
+    pairs = near.select("fp", value.alias("value")).select(F.col("fp").alias("u"), before.alias("v")).where("v IS NOT NULL AND u != v")
+    return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= FAR).distinct()
+
+
+def near_copies(docs: DataFrame, words: int = 5, least_similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group of linked texts the document with the least id stays.
+
+    Texts are linked if they are equal or if they meet by their fingerprints and their shingle sets are at least this similar.
+    Rows without an id stay only where their group has no id at all.
+    """
+    own = with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), PROBE_WORDS)
+    own, _ = written(own.select("doc_id", "fp", _text_key("text").alias("key")), "fingerprints")
+    texts, _ = written(own.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "texts")
+    first = texts.groupBy("fp").agg(F.min("key").alias("key"))
+    links = _subset_links(first.select("fp"))
+    across = links.join(first.select(F.col("fp").alias("u"), F.col("key").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("key").alias("b")), "v").select("a", "b")
+    inside = texts.join(first.withColumnRenamed("key", "b"), "fp").where("key != b").select(F.col("key").alias("a"), "b")
+    pairs, _ = written(across.unionByName(inside), "pairs")
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key", "least"), "key")
+
+    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            packed = [shingle_set(t if isinstance(t, str) else None, words).tobytes() for t in frame["text"]]
+            yield pd.DataFrame({"key": frame["key"], "s": np.array([*packed, b""], object)[:-1]})
+
+    bodies = docs.select(F.col(id_col).alias("doc_id"), _text_key(text_col).alias("key"), F.col(text_col).alias("text"))
+    bodies = bodies.join(involved.withColumnRenamed("key", "k"), F.expr("key = k AND doc_id <=> least"), "left_semi").select("key", "text")
+    sketches, _ = written(bodies.mapInPandas(sets, "key string, s binary").dropDuplicates(["key"]), "sets")
+
+    @F.pandas_udf("double")
+    def compare(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    both = pairs.join(sketches.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sketches.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
+    roots, _ = components(both.where(compare("sa", "sb") >= least_similarity).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    rooted = texts.join(roots.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("least"), F.col("key").alias("key"))).alias("best"))
+    stay = best.select(F.col("best.key").alias("__near_key"), F.col("best.least").alias("__near_id"))
+    kept = docs.withColumn("__near_own", _text_key(text_col)).join(stay, (F.col("__near_own") == F.col("__near_key")) & F.col(id_col).eqNullSafe(F.col("__near_id")), "left_semi")
+    return kept.dropDuplicates([id_col, "__near_own"]).drop("__near_own")
