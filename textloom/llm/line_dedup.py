@@ -3,11 +3,12 @@
 A line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends and with A-Z lower-cased.  Keys of at least
 ``min_chars`` code points that are found in at least ``min_docs`` documents lose all their lines everywhere.
 
-1. Lines become (two 64-bit hashes of the key, document, position); no text is moved.
+1. Lines become (two 64-bit hashes of the key, document, position), once, as a table in the shared folder; no text
+   is moved.
 2. They are range-partitioned by hash and document and sorted by hash, document and position, so a key of
    a third of all documents is spread over many tasks.  The first line of each (key, document) streams out and
    adds one to the key's count; counts are summed in part before the shuffle.
-3. Frequent keys meet the lines again.  AQE splits the frequent ones, or sends the frequent keys to all tasks
+3. Frequent keys, a table too, meet the lines again.  AQE splits the frequent ones, or sends the frequent keys to all tasks
    where their measured size is below spark.sql.autoBroadcastJoinThreshold.
 4. The dropped positions of a document are packed into 63-bit words; words without a dropped line are left
    out.  ``line_bitmaps`` returns these per-document bitmaps, ``apply_bitmaps`` applies them to the texts.
@@ -25,6 +26,8 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.llm.common import written
+
 WORD = 63
 _ROW, _ROW2, _WORDS, _DROPPED = "__line_row", "__line_doc", "__line_words", "__line_dropped"
 
@@ -46,11 +49,11 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col
     rows = docs.select(_row_key(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     lines = rows.select("row", "doc_id", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     lines = lines.select("row", "doc_id", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
-    lines = lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "doc_id", "row", "pos")
+    lines, _ = written(lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "doc_id", "row", "pos"), "lines")
     dealt = lines.select("h1", "h2", "doc_id", "pos").repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
     first = F.row_number().over(Window.partitionBy("h1", "h2", "doc_id").orderBy("pos")) == 1
     frequent = dealt.select("h1", "h2", first.alias("first")).where("first").groupBy("h1", "h2").agg(F.count("*").alias("n"))
-    frequent = frequent.where(F.col("n") >= min_docs).select("h1", "h2")
+    frequent, _ = written(frequent.where(F.col("n") >= min_docs).select("h1", "h2"), "keys")
     gone = lines.join(frequent, ["h1", "h2"]).select("row", "doc_id", "pos").distinct()
     words = gone.groupBy("row", "doc_id", F.floor(F.col("pos") / WORD).cast("int").alias("at"))
     words = words.agg(F.expr(f"bit_or(shiftleft(1L, pos % {WORD}))").alias("bits"), F.count("*").alias("n"))
