@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -154,6 +156,23 @@ def leak_codes(c: Column) -> Column:
     return F.filter(F.array(*[F.when(c.rlike(p), n) for n, p in rules]), lambda x: x.isNotNull())
 
 
+def arrow(kind: str) -> Callable:
+    """A pandas UDF that is made at its first call, as its type can be read only once there is a session."""
+
+    def keep(f: Callable) -> Callable:
+        made: list = []
+
+        def call(*columns) -> Column:
+            if not made:
+                made.append(F.pandas_udf(f, kind))
+            return made[0](*columns)
+
+        call.__doc__ = f.__doc__
+        return call
+
+    return keep
+
+
 STRUCTURE_SIGNS = f"[<>\\[\\]$_{{}}`{mk.OPEN}{mk.SHUT}]"
 MARKS_TYPE = "array<struct<placeholder: string, raw: string, kind: string, name: string>>"
 FINDINGS_TYPE = "array<struct<code: string, detail: string>>"
@@ -167,7 +186,7 @@ def _text(value) -> str | None:
     return value if isinstance(value, str) else None
 
 
-@F.pandas_udf(FINDINGS_TYPE)
+@arrow(FINDINGS_TYPE)
 def _verify(source: pd.Series, target: pd.Series, context: pd.Series, protected: pd.Series, target_protected: pd.Series, marks: pd.Series) -> pd.Series:
     rows = zip(source, target, context, protected, target_protected, marks)
     return pd.Series([[{"code": c, "detail": d} for c, d in st.verify(_text(s) or "", _text(t), _text(x), _text(p), _text(q), _marks(m))] for s, t, x, p, q, m in rows], dtype=object)
@@ -186,42 +205,42 @@ def verify(source: Column, target: Column, context: Column | None = None, protec
     return F.when(plain, cheap).otherwise(hard)
 
 
-@F.pandas_udf("array<struct<tier: string, code: string, detail: string>>")
+@arrow("array<struct<tier: string, code: string, detail: string>>")
 def tiers(source: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([[{"tier": a, "code": b, "detail": c} for a, b, c in st.tiers(s or "", t or "")] for s, t in zip(source, target)], dtype=object)
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def fingerprint(text: pd.Series) -> pd.Series:
     """Canonical structure of a text; its digest is the structural key."""
     return pd.Series([st.fingerprint(t if isinstance(t, str) else "") for t in text], dtype=object)
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def decode_entities(text: pd.Series) -> pd.Series:
     return pd.Series([mk.decode_entities(t) if isinstance(t, str) else None for t in text], dtype=object)
 
 
-@F.pandas_udf("array<struct<kind: string, start: int, end: int, text: string, name: string, closing: boolean>>")
+@arrow("array<struct<kind: string, start: int, end: int, text: string, name: string, closing: boolean>>")
 def tokens(text: pd.Series) -> pd.Series:
     return pd.Series([[{"kind": t.kind, "start": t.start, "end": t.end, "text": t.text, "name": t.name, "closing": t.closing} for t in mk.tokenize(x if isinstance(x, str) else "")] for x in text], dtype=object)
 
 
-@F.pandas_udf("array<string>")
+@arrow("array<string>")
 def macro_names(text: pd.Series) -> pd.Series:
     return pd.Series([st.macro_names(x if isinstance(x, str) else "") for x in text], dtype=object)
 
 
-@F.pandas_udf("array<string>")
+@arrow("array<string>")
 def link_targets(text: pd.Series) -> pd.Series:
     return pd.Series([mk.link_targets(x if isinstance(x, str) else "") for x in text], dtype=object)
 
 
-@F.pandas_udf("array<string>")
+@arrow("array<string>")
 def variables(text: pd.Series) -> pd.Series:
     return pd.Series([st.variables(x if isinstance(x, str) else "") for x in text], dtype=object)
 
 
-@F.pandas_udf("array<string>")
+@arrow("array<string>")
 def template_holes(text: pd.Series) -> pd.Series:
     return pd.Series([st.holes(x if isinstance(x, str) else "") for x in text], dtype=object)

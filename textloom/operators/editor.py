@@ -50,7 +50,7 @@ def terminology(segments: DataFrame, terms: DataFrame, ignored: DataFrame | None
     # \Q...\E quotes the term; a term that holds \E itself is cut and quoted again
     quoted = F.concat(F.lit("\\Q"), F.replace("term", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     whole = F.expr("source RLIKE pattern")
-    hits = words.join(t, "word").withColumn("pattern", F.concat(F.lit(r"\b"), quoted, F.lit(r"\b"))).where(whole & ~F.contains("translation", "want"))
+    hits = words.join(t, "word").withColumn("pattern", F.concat(F.lit("(?<![A-Za-z0-9_])"), quoted, F.lit("(?![A-Za-z0-9_])"))).where(whole & ~F.contains("translation", "want"))
     hits = hits.select("unit_id", "term").distinct()
     return hits if ignored is None else hits.join(ignored, ["unit_id", "term"], "left_anti")
 

@@ -12,9 +12,11 @@ from textloom.functions import columns as tc
 from textloom.functions import markup as mk
 from textloom.functions import scan
 
-UNIT = f"kind string, start_offset int, end_offset int, raw_text string, protected_text string, placeholders {tc.MARKS_TYPE}, risk_level string, origin string, context string"
-ISSUE = "code string, host string, offset int, detail string"
-SCANNED = f"struct<units: array<struct<{UNIT.replace(' string', ': string').replace(' int', ': int').replace('placeholders ', 'placeholders: ')}>>, issues: array<struct<code: string, host: string, offset: int, detail: string>>, code_blocks: int, code_strings: int, reversible: boolean>"
+SCANNED = (
+    "struct<units: array<struct<kind: string, start_offset: int, end_offset: int, raw_text: string, protected_text: string, "
+    f"placeholders: {tc.MARKS_TYPE}, risk_level: string, origin: string, context: string>>, "
+    "issues: array<struct<code: string, host: string, offset: int, detail: string>>, code_blocks: int, code_strings: int, reversible: boolean>"
+)
 # Unit fields that are always null, or always the same, in an inventory.
 CONSTANT = {"source_file": None, "widget": None, "base_relation": None, "old_translation": None, "translation": None}
 
