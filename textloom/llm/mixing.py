@@ -42,7 +42,8 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None, size:
             given = F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(float(w))).otherwise(given)
         counts = counts.withColumn("w", given)
     total = counts.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
-    mean = F.col("w") * F.lit(size).cast("double") / (F.col("all_w") * F.col("n")) if size else F.col("w") * F.col("all_n") / (F.col("all_w") * F.col("n"))
+    whole = F.lit(float(size)) if size else F.col("all_n")
+    mean = F.col("w") * whole / F.nullif(F.col("all_w") * F.col("n"), F.lit(0.0))
     rates = counts.crossJoin(F.broadcast(total)).select("source", F.coalesce(mean, F.lit(0.0)).alias("mean"))  # one row of totals
     rates = rates.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("mean") / PART)).cast("int")).withColumn("part", F.col("mean") / F.col("parts"))
     start = F.struct(F.exp(-F.col("part")).alias("p"), F.array(F.exp(-F.col("part"))).alias("cdf"))
