@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PAGE, FAN, CANDIDATES, QUERIES = 64, 64, 8192, 4096
+PAGE, FAN, CANDIDATES, QUERIES = 256, 64, 8192, 4096
 NO_ID = np.iinfo(np.int64).max
 RANGE = (np.iinfo(np.int64).min, np.iinfo(np.int64).max)
 
@@ -53,6 +53,8 @@ class MTree:
         self.eps = 1e-6 * np.sqrt(self.top + 1)
         self.lifted = np.concatenate([vectors, np.sqrt(self.top - square)[:, None]], 1)
         self.exact = vectors.shape[1] * np.abs(vectors).max() ** 2 < 2**53
+        small = vectors.shape[1] * np.abs(vectors).max() ** 2 < 2**24  # then single precision is exact too
+        self.points = vectors.astype(np.float32) if small else vectors
         self.computed = 0
         self.centre = self.lifted.mean(0)
         self.root = self._page(np.arange(len(vectors)), self.centre)
@@ -61,7 +63,7 @@ class MTree:
         page = Page()
         page.rows = page.pages = None
         if len(rows) <= PAGE:
-            page.rows, page.points, page.ids = rows, self.vectors[rows], self.ids[rows]
+            page.rows, page.points, page.ids = rows, self.points[rows], self.ids[rows]
             page.to_centre = _distances(self.lifted[rows], centre[None])[:, 0]
             return page
         # the first pivot is the row farthest from the centre; each next one is farthest from those before it
@@ -82,8 +84,11 @@ class MTree:
         return page
 
     def _scores(self, points: np.ndarray, query: np.ndarray) -> np.ndarray:
-        if self.exact and len(query) * np.abs(query).max() * np.abs(points).max() < 2**53:
-            return (points @ query).astype(np.int64)
+        most = len(query) * np.abs(query).max() * np.sqrt(self.top)
+        if points.dtype == np.float32 and most < 2**24:
+            return (points @ query.astype(np.float32)).astype(np.int64)
+        if self.exact and most < 2**53:
+            return (points.astype(np.float64) @ query).astype(np.int64)
         whole = [int(x) for x in query]
         return np.array([min(max(sum(int(a) * b for a, b in zip(p, whole)), RANGE[0]), RANGE[1]) for p in points], np.int64)
 
@@ -92,43 +97,40 @@ class MTree:
         lifted, square = np.append(query, 0.0), float((query * query).sum())
         slack = 1e-9 * (square + self.top) + 1e-6
 
-        def reachable(distance: np.ndarray) -> np.ndarray:
-            """The highest score at this distance or beyond."""
-            d = np.maximum(distance - self.eps, 0)
-            return (square + self.top - d * d) / 2 + slack
+        def reach(worst: float) -> float:
+            """The distance beyond which no candidate can have this score."""
+            rest = square + self.top + 2 * slack - 2 * worst
+            return float(np.sqrt(rest)) + self.eps if rest >= 0 else -1.0
 
-        ids, scores, worst = np.zeros(0, np.int64), np.zeros(0, np.int64), -np.inf
-        to_root = float(np.sqrt(((lifted - self.centre) ** 2).sum()))
-        queue, nth = [(-np.inf, 0, to_root, self.root)], 0
+        ids, scores, worst, limit = np.zeros(0, np.int64), np.zeros(0, np.int64), None, np.inf
+        queue, nth = [(0.0, 0, float(np.sqrt(((lifted - self.centre) ** 2).sum())), self.root)], 0
         while queue:
-            bound, _, distance, page = heapq.heappop(queue)
-            if -bound < worst:
+            nearest, _, distance, page = heapq.heappop(queue)
+            if nearest > limit:
                 break
+            to_own = np.abs(page.to_centre - distance)
             if page.pages is not None:
-                by_triangle = reachable(np.abs(distance - page.to_centre) - page.radii)
-                at = np.flatnonzero(by_triangle >= worst)
-                if not len(at):
-                    continue
+                at = np.flatnonzero(to_own - page.radii <= limit)
                 d = np.sqrt(((page.centres[at] - lifted) ** 2).sum(1))
                 self.computed += len(at)
-                best = np.minimum(reachable(d - page.radii[at]), by_triangle[at])
-                for i in np.flatnonzero(best >= worst):
+                least = np.maximum(d, to_own[at]) - page.radii[at]
+                for i in np.flatnonzero(least <= limit):
                     nth += 1
-                    heapq.heappush(queue, (-float(best[i]), nth, float(d[i]), page.pages[at[i]]))
+                    heapq.heappush(queue, (float(least[i]), nth, float(d[i]), page.pages[at[i]]))
                 continue
-            at = np.flatnonzero((reachable(np.abs(distance - page.to_centre)) >= worst) & (page.ids != own))
-            if not len(at):
-                continue
-            got = self._scores(page.points[at], query)
-            self.computed += len(at)
-            ok = got >= worst
+            near = to_own <= limit
+            points, names = (page.points, page.ids) if near.all() else (page.points[near], page.ids[near])
+            got = self._scores(points, query)
+            self.computed += len(names)
+            ok = names != own if worst is None else (got >= worst) & (names != own)
             if not ok.any():
                 continue
-            ids, scores = np.concatenate([ids, page.ids[at][ok]]), np.concatenate([scores, got[ok]])
+            ids, scores = np.concatenate([ids, names[ok]]), np.concatenate([scores, got[ok]])
             order = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[order], scores[order]
             if len(ids) == k:
                 worst = int(scores[-1])
+                limit = reach(worst)
         return ids, scores
 
 
@@ -172,6 +174,7 @@ def mtree_search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "
                     c.append(x)
         return pd.DataFrame({n: np.concatenate(c) for n, c in zip(("query_id", "vec_id", "score"), cols)})
 
+    left, right = left.repartition(n_c * n_q, "task"), right.repartition(n_c * n_q, "task")  # tasks of a few megabytes that compute for long
     found = left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     best = found.withColumn("rank", rank).where(F.col("rank") <= k)
