@@ -15,7 +15,9 @@ from textloom.operators import kit
 from textloom.operators import migration as mig
 from textloom.operators import planner as pl
 from textloom.operators import scenarios as sc
+from textloom.operators import tokens as tk
 from textloom.plans.base import LINES, RECORDS, STATES, UNITS, fingerprint_sql, fold_sql, lines, normalize_sql, records, table, units
+from textloom.sources import archive as ar
 from textloom.sources import story as st
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -409,14 +411,18 @@ def replay_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.splice(edits, docs)
 
 
-@query()
-def build_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole planner over units with a valid translation."""
+def build_plan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = own_units(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), "doc_id").alias("name"), F.col("text").alias("content"))
     valid = own_states(spark, sf_dir).where("state = 'translated-valid' AND NOT identity").select("unit_id")
     live = u.join(valid, "unit_id").join(records(spark, sf_dir, u).select("unit_id", "translation"), "unit_id")
-    return pl.build_plan(live, docs).select("passage", "what", "unit_id", "reason", "from_text", "to_text", "all_sites", "anchored", "span_start", "span_end", "patch_start", "patch_end", "is_cluster")
+    return pl.build_plan(live, docs)
+
+
+@query()
+def build_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole planner over units with a valid translation."""
+    return build_plan_rows(spark, sf_dir).select("passage", "what", "unit_id", "reason", "from_text", "to_text", "all_sites", "anchored", "span_start", "span_end", "patch_start", "patch_end", "is_cluster")
 
 
 @query(f"""WITH {STATES} SELECT count(*)::BIGINT AS placed, 0::BIGINT AS failures FROM states WHERE state = 'translated-valid'""")
@@ -529,6 +535,156 @@ def page_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of pages by kind; their texts add up to the page."""
-    rows = table(spark, sf_dir, "pages").select("page_id", "html", tc.tokens(F.col("html")).alias("t"))
-    whole = F.array_join(F.transform("t", lambda t: t["text"]), "") == F.col("html")
-    return rows.select("page_id", whole.alias("reversible"), F.explode("t").alias("x")).groupBy("page_id", "reversible", "x.kind").agg(F.count("*").alias("n"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    rows = tk.token_rows(pages, "page_id", "html")
+    return rows.groupBy("page_id", "kind").agg(F.count("*").alias("n")).join(tk.covered(rows, pages, "page_id", "html"), "page_id")
+
+
+# More of the inventory, by operator -----------------------------------------------------------------------------------
+
+
+@query(f"WITH {LINES}, f AS (SELECT doc_id, i, line, {fold_sql('line')} AS s FROM lines) SELECT doc_id, i, regexp_matches(line, '[A-Za-z]{{2,}}') AS word, s = '' OR (NOT contains(s, ' ') AND regexp_matches(s, '[$_.\\[\\]{{}}()]')) AS name FROM f")
+def label_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "i", tc.has_word(F.col("line")).alias("word"), tc.is_name(F.col("line")).alias("name"))
+
+
+@query("SELECT page_id, regexp_matches(url, '(?i)^(?:https?://|//)\\S+$') AS url, FALSE AS title FROM pages")
+def url_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", tc.is_url(F.col("url")).alias("url"), tc.is_url(F.concat(F.lit("Read "), "url")).alias("title"))
+
+
+@query("SELECT doc_id, (length(text) - length(replace(text, 'th', ''))) // 2 AS n, CASE WHEN instr(text, 'th') > 0 THEN substr(text, 1, instr(text, 'th') - 1) || '[' || substr(text, instr(text, 'th') + 2) ELSE text END AS first, replace(text, 'th', '[') AS every FROM documents")
+def literal_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, needle, by = F.col("text"), F.lit("th"), F.lit("[")
+    return table(spark, sf_dir, "documents").select("doc_id", tc.occurrences(text, needle).cast("long").alias("n"), tc.replace_first(text, needle, by).alias("first"), F.replace(text, needle, by).alias("every"))
+
+
+@query("SELECT page_id, NOT regexp_matches(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&[a-zA-Z][a-zA-Z0-9]*;|&#[0-9]+;|&#x[0-9a-fA-F]+;', ' ', 'g'), '[A-Za-z]') AS identity FROM pages")
+def structural_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", tc.is_identity(F.col("html")).alias("identity"))
+
+
+@query(f"WITH {UNITS} SELECT unit_id, replace(replace(replace(replace(raw_text, chr(92), chr(92) || chr(92)) || chr(34) || '$' || '{{', chr(34), chr(92) || chr(34)), '$' || '{{', chr(92) || '$' || '{{'), chr(13), chr(92) || 'r') AS escaped FROM units")
+def escape_for_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return own_units(spark, sf_dir).select("unit_id", tc.escape_for(F.lit("js-double"), F.concat("raw_text", F.lit('"${'))).alias("escaped"))
+
+
+@query(f"WITH {UNITS} SELECT unit_id, CASE WHEN i % 4 = 0 THEN 'LINK_LABEL_DELIMITER_INSERTED' WHEN i % 4 = 1 THEN 'MACRO_ARG_DELIMITER_INSERTED' WHEN i % 4 = 2 AND (length(raw_text) - length(replace(raw_text, '`', ''))) % 2 = 0 THEN 'TEXT_BACKTICK_UNBALANCED' END AS code FROM units")
+def context_delimiters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    case, source = F.col("i") % 4, F.col("raw_text")
+    context = F.when(case == 0, "link").when(case == 1, "arg-double").when(case == 3, "js-double")
+    target = F.concat(source, F.when(case == 0, "|").when(case == 1, '"').when(case == 2, "`").otherwise('"'))
+    return own_units(spark, sf_dir).select("unit_id", tc.context_code(context, source, target).alias("code"))
+
+
+@query(f"WITH {LINES}, t AS (SELECT doc_id, i, line, sum(CASE WHEN i % 5 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM lines) SELECT doc_id || '.' AS file, (min(i) + 1)::INT AS line, 'T' || (min(i) // 5)::INT AS name, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE i % 5 <> 0), '') AS raw FROM t GROUP BY doc_id, g")
+def parse_plain_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as plain-text sources in which every fifth line is a title."""
+    rows = lines(table(spark, sf_dir, "documents")).withColumn("line", F.when(F.col("i") % 5 == 0, F.concat(F.lit(":: T"), F.floor(F.col("i") / 5))).otherwise(F.regexp_replace("line", "^::", "..")))
+    files = rows.groupBy(F.concat("doc_id", F.lit(".")).alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return st.parse_source(files).select("file", F.col("line").cast("int").alias("line"), "name", "raw")
+
+
+@query("SELECT 'conv' || conv_id AS name, arg_max(text, turn) AS content FROM conversations GROUP BY conv_id")
+def passages_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.concat(F.lit("conv"), "conv_id").alias("name"), F.col("turn").alias("passage_ord"), F.col("text").alias("content"))
+    return st.by_name(rows).select("name", "content")
+
+
+@query("""WITH e AS (SELECT item_id, 'doc' || doc_id AS passage, b.text AS f, (length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text))
+          SELECT item_id::BIGINT AS ord, passage, n::INT AS occurrences, CASE WHEN n > 1 THEN ['occurs-more-than-once'] ELSE []::VARCHAR[] END AS errors FROM e""")
+def validate_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts as entries of the documents that hold them."""
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    # a document holds an item only if it holds the item's first 24 characters at the place of some word, so this is an equi-join
+    lead = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - 23)), lambda k: F.substr("text", k, F.lit(24))))).alias("lead")
+    held = docs.select("doc_id", "text", lead).join(F.broadcast(items.select("item_id", F.col("text").alias("from_text"), F.substring("text", 1, 24).alias("lead"))), "lead").where(F.contains("text", "from_text"))
+    kind = "array<struct<code: string, reason: string>>"
+    entries = held.select(F.col("item_id").alias("ord"), F.lit(None).cast("string").alias("id"), F.concat(F.lit("doc"), "doc_id").alias("passage"), "from_text", F.concat("from_text", F.lit(" zz")).alias("to_text"), F.lit(None).cast("boolean").alias("all_sites"), F.lit(None).cast(kind).alias("allow"))
+    passages = docs.select(F.concat(F.lit("doc"), "doc_id").alias("name"), F.col("text").alias("content"), F.col("doc_id").alias("passage_ord"))
+    out = mig.validate_entries(entries, passages)
+    return out.select(F.col("ord").cast("long").alias("ord"), "passage", "occurrences", "errors")
+
+
+@query("SELECT url AS path, CASE WHEN page_id % 4 = 0 THEN 'exact' WHEN page_id % 4 = 1 THEN 'version-substituted' WHEN page_id % 4 = 2 THEN 'whitespace' ELSE 'changed' END AS relation FROM (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url)")
+def align_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").groupBy(F.col("url").alias("path")).agg(F.min("page_id").alias("page_id"), F.min_by("html", "page_id").alias("html"))
+    kind, body = F.col("page_id") % 4, F.concat(F.lit("/* h */\n"), "html")
+    source = pages.select("path", F.when(kind == 1, F.concat("html", F.lit("build version"))).when(kind == 2, F.concat("html", F.lit(" \n"))).otherwise(F.col("html")).alias("content"))
+    target = pages.select(F.col("path").alias("file"), F.when(kind == 1, F.concat(body, F.lit("2.0"))).when(kind == 3, F.concat(body, F.lit("!"))).otherwise(body).alias("content"))
+    return _aligned(source, target)
+
+
+def _aligned(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Paths with doubled slashes are folded by the alignment, so both sides are aligned under a digest of theirs."""
+    s, t = source.withColumn("path", F.md5("path")), target.withColumn("file", F.md5("file"))
+    names = source.select(F.md5("path").alias("digest"), F.col("path").alias("own"))
+    return mig.align_files(s, t, "2.0").join(names, F.col("path") == F.col("digest")).select(F.col("own").alias("path"), "relation")
+
+
+@query("""WITH e AS (SELECT doc_id, substr(text, 1, 10) AS needle FROM documents UNION ALL SELECT doc_id, substr(text, 1, 10) || '@' FROM documents)
+          SELECT DISTINCT d.doc_id::VARCHAR AS id, e.needle FROM e JOIN documents d USING (doc_id) WHERE NOT contains(d.text, e.needle)""")
+def unmet_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("doc"), "doc_id").alias("passage"), "text").where("text IS NOT NULL")
+    expected = docs.select("id", "passage", F.explode(F.array(F.substring("text", 1, 10), F.concat(F.substring("text", 1, 10), F.lit("@")))).alias("needle"))
+    return sc.unmet_expectations(expected, docs.select("passage", "text"))
+
+
+@query("SELECT page_id, length(html)::INT AS chars, length(regexp_replace(html, '[\\x00-\\x7F]', '', 'g'))::INT AS non_ascii, length(regexp_replace(html, '[^\\p{L}]', '', 'g'))::INT AS letters FROM pages")
+def text_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", sc.diagnostics(F.col("html")).alias("d")).select("page_id", "d.chars", "d.non_ascii", "d.letters")
+
+
+@query("""WITH w AS (SELECT conv_id, list(text ORDER BY turn) AS all_t FROM conversations GROUP BY conv_id)
+          SELECT conv_id, list_filter(all_t, lambda x: x <> all_t[1]) AS introduced, list_filter(all_t, lambda x: x = all_t[1]) AS pre_existing FROM w""")
+def visible_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("packed"))
+    new, old = sc.visible_errors(F.col("packed"), F.slice("packed", 1, 1))
+    return rows.select("conv_id", new.alias("introduced"), old.alias("pre_existing"))
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '[\",\\r\\n]') THEN '\"' || replace(text, '\"', '\"\"') || '\"' ELSE text END AS cell FROM documents")
+def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", ar.csv_cell(F.col("text")).alias("cell"))
+
+
+@query(f"""WITH {_SEGMENTS} SELECT unit_id, CASE WHEN edited IS NULL THEN translation ELSE edited END AS translation, CASE WHEN edited IS NULL THEN status ELSE 'unmarked' END AS status
+           FROM (SELECT *, CASE WHEN status = 'flagged' THEN source || '!' END AS edited FROM segments)""")
+def apply_edit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _segments(spark, sf_dir)
+    events = own.where("status = 'flagged'").select("unit_id", F.explode(F.array(F.struct(F.lit(1).alias("ord"), F.lit("!").alias("s"), F.lit(False).alias("undone")), F.struct(F.lit(2).alias("ord"), F.lit("?").alias("s"), F.lit(True).alias("undone")))).alias("e"), "source")
+    log = events.select("unit_id", "e.ord", F.concat("source", "e.s").alias("translation"), "e.undone")
+    return ed.apply_events(own, log).select("unit_id", "translation", "status")
+
+
+@query(f"""WITH {_SEGMENTS} SELECT unit_id, source, CASE WHEN status = 'flagged' THEN 'unmarked' ELSE status END AS status FROM segments WHERE status <> 'reviewed'""")
+def adopt_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _segments(spark, sf_dir)
+    stored = own.select("unit_id", F.when(F.col("status") == "reviewed", F.concat("source", F.lit("?"))).otherwise(F.col("source")).alias("source"), F.when(F.col("status") == "flagged", "odd").otherwise(F.col("status")).alias("status"))
+    return ed.adopt_project(stored, own).select("unit_id", "source", "status")
+
+
+@query(f"WITH {UNITS} SELECT count(*) AS checked, 0::BIGINT AS clean, count(*) AS with_findings, count(*) AS hard_findings, count(*) AS hard_entries FROM units")
+def analyze_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = own_units(spark, sf_dir).select(F.col("passage").alias("where_"), F.col("i").alias("pos"), F.col("raw_text").alias("source"), F.concat("raw_text", F.lit(" %d")).alias("target"))
+    return tk.analyze_pairs(pairs)[0].select("checked", "clean", "with_findings", "hard_findings", "hard_entries")
+
+
+@query("SELECT item_id, 'if' AS name, FALSE AS closing, ' $n gt ' || item_id AS body FROM benchmark UNION ALL SELECT item_id, 'print', FALSE, ' $x' FROM benchmark UNION ALL SELECT item_id, 'if', TRUE, '' FROM benchmark")
+def macro_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("<<if $n gt "), F.col("item_id").cast("string"), F.lit(">>"), "text", F.lit("<<= $x>><</if>>")).alias("content"))
+    return tk.macro_rows(items, "item_id", "content").select("item_id", "name", "closing", "body")
+
+
+@query("SELECT a, b, a = b OR (a LIKE 'person_' AND b LIKE 'person_') AS same FROM (SELECT unnest(['person1', 'person2', 'their', 'bhis', 'none']) AS a), (SELECT unnest(['person2', 'their', 'bhis']) AS b)")
+def equivalent_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = spark.createDataFrame([(a, b) for a in ("person1", "person2", "their", "bhis", "none") for b in ("person2", "their", "bhis")], "a string, b string")
+    return tk.equivalent(tk.effect_signatures(spark), pairs)
+
+
+@query(f"WITH {STATES} SELECT 'translated-valid' AS kind, count(*)::BIGINT AS n FROM states WHERE state = 'translated-valid'")
+def plan_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units that the plan's entries hold, each once."""
+    plan = build_plan_rows(spark, sf_dir).where("what = 'entry'")
+    return plan.select(F.explode("covers_units").alias("u")).distinct().agg(F.lit("translated-valid").alias("kind"), F.count("*").alias("n")).select("kind", "n")
