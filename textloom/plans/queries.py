@@ -277,12 +277,12 @@ def migration_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mig.migration_report(migrate_records(spark, sf_dir))
 
 
-@query(f"WITH {UNITS} SELECT e.item_id, u.unit_id FROM benchmark e JOIN units u ON u.raw_text = e.text")
+@query(f"WITH {UNITS} SELECT e.doc_id, u.unit_id FROM units e JOIN labels USING (doc_id) JOIN units u ON u.passage = e.passage AND u.raw_text = e.raw_text")
 def match_source_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("from_text"))
-    u = own_units(spark, sf_dir)
-    entries = items.join(u.select("passage", F.col("raw_text").alias("from_text")).distinct(), "from_text")
-    return mig.match_entries(entries, u)[0].select("item_id", "unit_id")
+    """Lines of labelled documents as entries: each meets every unit of its passage with the same text."""
+    u, labels = own_units(spark, sf_dir), table(spark, sf_dir, "labels").select("doc_id")
+    entries = u.join(labels, "doc_id").select("doc_id", "passage", F.col("raw_text").alias("from_text"))
+    return mig.match_entries(entries, u)[0].select("doc_id", "unit_id")
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -592,19 +592,15 @@ def passages_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.by_name(rows).select("name", "content")
 
 
-@query("""WITH e AS (SELECT item_id, 'doc' || doc_id AS passage, b.text AS f, (length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text))
-          SELECT item_id::BIGINT AS ord, passage, n::INT AS occurrences, CASE WHEN n > 1 THEN ['occurs-more-than-once'] ELSE []::VARCHAR[] END AS errors FROM e""")
+@query(f"""WITH {LINES}, e AS (SELECT l.doc_id, line, text, CASE WHEN line = '' THEN 0 ELSE (length(text) - length(replace(text, line, ''))) // length(line) END AS n FROM lines l JOIN labels USING (doc_id) JOIN documents USING (doc_id) WHERE i = 0)
+          SELECT doc_id AS ord, 'doc' || doc_id AS passage, CASE WHEN line <> '' THEN n::INT END AS occurrences, CASE WHEN line = '' THEN ['missing-from'] WHEN n > 1 THEN ['occurs-more-than-once'] ELSE []::VARCHAR[] END AS errors FROM e""")
 def validate_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts as entries of the documents that hold them."""
-    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
-    # a document holds an item only if it holds the item's first 24 characters at the place of some word, so this is an equi-join
-    lead = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - 23)), lambda k: F.substr("text", k, F.lit(24))))).alias("lead")
-    held = docs.select("doc_id", "text", lead).join(F.broadcast(items.select("item_id", F.col("text").alias("from_text"), F.substring("text", 1, 24).alias("lead"))), "lead").where(F.contains("text", "from_text"))
-    kind = "array<struct<code: string, reason: string>>"
-    entries = held.select(F.col("item_id").alias("ord"), F.lit(None).cast("string").alias("id"), F.concat(F.lit("doc"), "doc_id").alias("passage"), "from_text", F.concat("from_text", F.lit(" zz")).alias("to_text"), F.lit(None).cast("boolean").alias("all_sites"), F.lit(None).cast(kind).alias("allow"))
+    """The first lines of labelled documents as entries."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id")
+    heads = lines(docs).where("i = 0").join(labels, "doc_id")
+    entries = heads.select(F.col("doc_id").alias("ord"), F.lit(None).cast("string").alias("id"), F.concat(F.lit("doc"), "doc_id").alias("passage"), F.col("line").alias("from_text"), F.concat("line", F.lit(" zz")).alias("to_text"), F.lit(None).cast("boolean").alias("all_sites"), F.lit(None).cast("array<struct<code: string, reason: string>>").alias("allow"))
     passages = docs.select(F.concat(F.lit("doc"), "doc_id").alias("name"), F.col("text").alias("content"), F.col("doc_id").alias("passage_ord"))
-    out = mig.validate_entries(entries, passages)
-    return out.select(F.col("ord").cast("long").alias("ord"), "passage", "occurrences", "errors")
+    return mig.validate_entries(entries, passages).select("ord", "passage", "occurrences", "errors")
 
 
 @query("SELECT url AS path, CASE WHEN page_id % 4 = 0 THEN 'exact' WHEN page_id % 4 = 1 THEN 'version-substituted' WHEN page_id % 4 = 2 THEN 'whitespace' ELSE 'changed' END AS relation FROM (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url)")
