@@ -11,8 +11,8 @@ of one value are all within 2 of each other, at most 65 of them, so links of nei
 for more bits all pairs under a value are verified.  Copies share a fingerprint and are one row throughout.
 
 ``near_copies`` uses the same hashing for a similarity of shingle sets: random subsets of ``SUBSET`` of the 64 bits each take part
-in the ball hashing with radius 1, so that copies too far apart for one ball of 64 bits still meet; what meets as neighbours is
-verified by the exact Jaccard similarity of the texts' sets of ``words``-word shingles.
+in the ball hashing with radius 1, so that copies too far apart for one ball of 64 bits still meet.  These fingerprints are of two-word
+shingles, which an edit changes less than the five-word shingles that decide.  What meets is verified by the exact Jaccard similarity of the texts' sets of ``words``-word shingles.
 
 Defined results: null texts count as empty; documents without words link with each other; rows that repeat a doc_id give
 a row each; a null doc_id is never a component's id unless all ids of the component are null; an empty
@@ -36,7 +36,7 @@ from textloom.llm.common import written
 from textloom.llm.components import components
 
 SEED, BLOCK = 42, 1 << 16
-SUBSET, SUBSETS, PROBE_WORDS, FAR = 32, 6, 3, 12
+SUBSET, SUBSETS, PROBE_WORDS, FAR, BACK = 28, 10, 2, 14, 3
 
 
 def simhash(text: str | None, words: int) -> int:
@@ -119,7 +119,7 @@ def _text_key(text_col: str) -> Column:
 
 
 def _subset_links(fps: DataFrame) -> DataFrame:
-    """Pairs (u, v) of distinct fingerprints that are neighbours under a common value of some subset's bits."""
+    """Pairs (u, v) of distinct fingerprints at most FAR bits apart, at most BACK places apart under a common value of some subset's bits."""
     rng = Random(SEED)
     masks = []
     for t in range(SUBSETS):
@@ -130,9 +130,12 @@ def _subset_links(fps: DataFrame) -> DataFrame:
     signed = [x.replace("-9223372036854775808L", "shiftleft(1L, 63)") for x in signed]
     near = fps.select("fp", F.explode(F.expr(f"array({', '.join(signed)})")).alias("m"))
     value = F.xxhash64("m.t", (F.col("fp").bitwiseXOR(F.col("m.flip"))).bitwiseAND(F.col("m.keep")))
-    before = F.lag("fp").over(Window.partitionBy("value").orderBy("fp"))
-    pairs = near.select("fp", value.alias("value")).select(F.col("fp").alias("u"), before.alias("v")).where("v IS NOT NULL AND u != v")
-    return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= FAR).distinct()
+    w = Window.partitionBy("value").orderBy("fp")
+    before = F.array(*[F.lag("fp", k).over(w) for k in range(1, BACK + 1)])
+    met = near.select("fp", value.alias("value")).select(F.col("fp").alias("u"), before.alias("vs"))
+    close = F.filter("vs", lambda v: v.isNotNull() & (F.bit_count(F.col("u").bitwiseXOR(v)) <= FAR))
+    pairs = met.select("u", close.alias("vs")).where("size(vs) > 0").select("u", F.explode("vs").alias("v")).where("u != v")
+    return pairs.distinct()
 
 
 def near_copies(docs: DataFrame, words: int = 5, least_similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
