@@ -2,6 +2,7 @@ import json
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.sources import archive as ar
 from textloom.sources import git as g
@@ -93,12 +94,15 @@ def test_kits_go_out_in_chunks_and_come_back(spark, tmp_path):
     passages = spark.createDataFrame([("P", "abcdefgh")], "name string, content string")
     dealt = kit.chunks(units, 2, ("passage_ord", "unit_ord")).select("unit_id", "chunk", "filename", "row_index")
     segs = kit.segments(units, passages).join(dealt.withColumnRenamed("unit_id", "unitId"), "unitId")
+    segs = segs.withColumn("issue", F.when(F.col("row_index") == 4, F.lit('{"unitId": "1:4-5"}')))
     done = ar.write_kits(segs, str(tmp_path), {"targetStory": {"sha256": "s"}}, [("a", 'b"', "")]).collect()
     assert sorted((r.filename, r.segment_count) for r in done) == [("localization-kit-001.zip", 2), ("localization-kit-002.zip", 2), ("localization-kit-003.zip", 1)]
     assert json.loads(ar.kit_index(done, {"scope": "all"}, 2))["totalSegments"] == 5
     back = ar.read_kits(spark, str(tmp_path / "*.zip")).collect()
     assert len(back) == 10 and {r.story_sha for r in back} == {"s"} and {r.unit_id for r in back if r.part == "csv"} == {f"1:{n}-{n + 1}" for n in range(5)}
     body = ar.member((tmp_path / "localization-kit-001.zip").read_bytes(), "segments.csv").decode()
+    last = (tmp_path / "localization-kit-003.zip").read_bytes()
+    assert ar.member(last, "issues.jsonl") == b'{"unitId": "1:4-5"}\n' and b"problems to repair: 1" in ar.member(last, "README.md") and ar.member(last, "TRANSLATION-RULES.md")
     assert body.startswith("﻿unitId,passage") and body.count("\r\n") == 3
 
 

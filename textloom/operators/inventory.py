@@ -85,7 +85,7 @@ def histograms(rows: DataFrame) -> DataFrame:
     return rows.select(pairs.alias("x")).groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))
 
 
-def inventory_fingerprint(rows: DataFrame, buckets: int = 1024) -> DataFrame:
+def inventory_fingerprint(rows: DataFrame) -> DataFrame:
     """sha256 over the sorted lines unit_id NUL protected_hash, 32 hex digits.
 
     The lines of an inventory are one string by definition, so they meet in one row; inventories are one story's units.

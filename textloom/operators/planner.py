@@ -50,6 +50,16 @@ def build_plan(units: DataFrame, passages: DataFrame, growth: int = pt.GROWTH, c
     return rows.groupBy("passage").cogroup(texts.groupBy("passage")).applyInPandas(plan, ROW)
 
 
+def plan_stats(plan: DataFrame) -> DataFrame:
+    """(name, n): the planner's counters summed over passages."""
+    return plan.where("what = 'stat'").groupBy(F.col("reason").alias("name")).agg(F.sum(F.col("detail").cast("long")).alias("n"))
+
+
+def failures_by_code(plan: DataFrame) -> DataFrame:
+    """(code, n) of what is wrong with a plan; no rows if it is sound."""
+    return plan.where("what = 'failure'").groupBy(F.col("reason").alias("code")).agg(F.count("*").alias("n"))
+
+
 def uniform_groups(units: DataFrame, passages: DataFrame) -> DataFrame:
     """(passage, from_text, sites, to_text) that one replace-all entry settles: same text, same translation, and no occurrence that is no unit."""
     g = units.groupBy("passage", F.col("raw_text").alias("from_text")).agg(F.count("*").alias("sites"), F.min("translation").alias("to_text"), F.max("translation").alias("other"))

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from textloom.functions import columns as tc
 
-MARKS = F.array
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -19,6 +19,7 @@ from textloom.operators import tokens as tk
 from textloom.plans.base import LINES, RECORDS, STATES, UNITS, fingerprint_sql, fold_sql, lines, normalize_sql, records, table, units
 from textloom.sources import archive as ar
 from textloom.sources import story as st
+from textloom.streaming import imports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -684,3 +685,14 @@ def plan_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units that the plan's entries hold, each once."""
     plan = build_plan_rows(spark, sf_dir).where("what = 'entry'")
     return plan.select(F.explode("covers_units").alias("u")).distinct().agg(F.lit("translated-valid").alias("kind"), F.count("*").alias("n")).select("kind", "n")
+
+
+@query()
+def plan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pl.plan_stats(build_plan_rows(spark, sf_dir))
+
+
+@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beyond parity: the stream's tumbling windows over the table as a batch."""
+    return imports.event_windows(table(spark, sf_dir, "events")).select("start", "event_type", "n")
