@@ -22,9 +22,14 @@ def scratch(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` as a table in the shared folder, read again: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, name: str, narrow: bool = False) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, read again: cuts the lineage and survives lost executors.
+
+    ``narrow`` is for tables of small rows that come out of a shuffle: eight of its partitions share a file.
+    """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path

@@ -36,11 +36,11 @@ def components(edges: DataFrame) -> tuple[DataFrame, str]:
     """
     spark = edges.sparkSession
     edges = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, path = written(edges, "edges")
+    now, path = written(edges, "edges", narrow=True)
     mark = _mark(now)
     while mark[0]:
-        half, half_path = written(_star(now, True), "edges")
-        new, new_path = written(_star(half, False), "edges")
+        half, half_path = written(_star(now, True), "edges", narrow=True)
+        new, new_path = written(_star(half, False), "edges", narrow=True)
         for p in (path, half_path):
             drop(spark, p)
         now, path, before, mark = new, new_path, mark, _mark(new)

@@ -207,7 +207,7 @@ def lattice_dedup(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_i
     classes, _ = written(distinct, "vectors")
     given = classes.select("key", "label", "w", "v")
     sizes = given.mapInPandas(_emit(False), "gid long, role int").groupBy("gid").agg(F.sum(F.expr("1 - role")).alias("owners"), F.sum("role").alias("probers"))
-    large, _ = written(sizes.where(f"greatest(owners, probers) > {BLOCK} AND owners > 0"), "cells")
+    large, _ = written(sizes.where(f"greatest(owners, probers) > {BLOCK} AND owners > 0"), "cells", narrow=True)
     large = large.select("gid", F.ceil(F.col("owners") / BLOCK).cast("int").alias("so"), F.ceil(F.col("probers") / BLOCK).cast("int").alias("sp"))
     if large.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         large = F.broadcast(large)

@@ -53,7 +53,7 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col
     dealt = lines.select("h1", "h2", "doc_id", "pos").repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
     first = F.row_number().over(Window.partitionBy("h1", "h2", "doc_id").orderBy("pos")) == 1
     frequent = dealt.select("h1", "h2", first.alias("first")).where("first").groupBy("h1", "h2").agg(F.count("*").alias("n"))
-    frequent, _ = written(frequent.where(F.col("n") >= min_docs).select("h1", "h2"), "keys")
+    frequent, _ = written(frequent.where(F.col("n") >= min_docs).select("h1", "h2"), "keys", narrow=True)
     gone = lines.join(frequent, ["h1", "h2"]).select("row", "doc_id", "pos").distinct()
     words = gone.groupBy("row", "doc_id", F.floor(F.col("pos") / WORD).cast("int").alias("at"))
     words = words.agg(F.expr(f"bit_or(shiftleft(1L, pos % {WORD}))").alias("bits"), F.count("*").alias("n"))

@@ -151,7 +151,7 @@ def near_copies(docs: DataFrame, words: int = 5, least_similarity: float = 0.8,
     links = _subset_links(first.select("fp"))
     across = links.join(first.select(F.col("fp").alias("u"), F.col("key").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("key").alias("b")), "v").select("a", "b")
     inside = texts.join(first.withColumnRenamed("key", "b"), "fp").where("key != b").select(F.col("key").alias("a"), "b")
-    pairs, _ = written(across.unionByName(inside), "pairs")
+    pairs, _ = written(across.unionByName(inside), "pairs", narrow=True)
     involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key", "least"), "key")
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
