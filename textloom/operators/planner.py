@@ -20,34 +20,42 @@ def build_plan(units: DataFrame, passages: DataFrame, growth: int = pt.GROWTH, c
     """Rows of ``ROW``: what is entry, skipped, covered (reason: how, detail: by which entry), stat (reason: name, detail: value) or failure (reason: code).
 
     units: passage, unit_id, start_offset, end_offset, raw_text, placeholders, translation (protected or raw).  A unit whose passage
-    is missing is skipped.  A passage is planned in one task, as its entries depend on each other; passages run in parallel.
+    is missing is skipped; of passages with one name any one counts.  A passage is planned in one task, as its entries depend on each other;
+    passages run in parallel, in buckets of a hash of their name, so that many short ones share a call.
     """
     texts = passages.select(F.col("name").alias("passage"), "content")
     rows = units.select("passage", "unit_id", "start_offset", "end_offset", "raw_text", tc.restore(F.coalesce("translation", F.lit("")), F.coalesce("placeholders", F.array().cast(tc.MARKS_TYPE))).alias("to"))
 
-    def plan(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def plan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        content: dict[str, str] = {}
+        for name, text in zip(right["passage"], right["content"]):
+            content.setdefault(name, text or "")
+        whole_number = lambda v: None if v is None or v != v else int(v)
+        groups: dict[str, list[dict]] = {}
+        for p, u, a, b, r, t in zip(*(left[c] for c in ("passage", "unit_id", "start_offset", "end_offset", "raw_text", "to"))):
+            groups.setdefault(p, []).append({"unit_id": u, "start_offset": whole_number(a), "end_offset": whole_number(b), "raw_text": r, "to": t})
         out: list[dict] = []
-        whole_numbers = lambda v: None if v is None or v != v else int(v)
-        group = [{"unit_id": u, "start_offset": whole_numbers(a), "end_offset": whole_numbers(b), "raw_text": r, "to": t} for u, a, b, r, t in zip(left["unit_id"], left["start_offset"], left["end_offset"], left["raw_text"], left["to"])]
-        if len(group) and not len(right):
-            out = [{"what": "skipped", "unit_id": u["unit_id"], "reason": "passage-missing"} for u in group]
-        elif len(group):
-            text = right["content"].iloc[0] or ""
-            made = pt.plan_passage(text, group, growth, clusters, whole)
+        for p, group in groups.items():
+            if p not in content:
+                out += [{"passage": p, "what": "skipped", "unit_id": u["unit_id"], "reason": "passage-missing"} for u in group]
+                continue
+            made = pt.plan_passage(content[p], group, growth, clusters, whole)
             for e in made.entries:
                 out.append({
-                    "what": "entry", "unit_id": e.unit, "from_text": e.frm, "to_text": e.to, "all_sites": e.all, "raw_from": e.raw, "anchored": e.grown is not None,
+                    "passage": p, "what": "entry", "unit_id": e.unit, "from_text": e.frm, "to_text": e.to, "all_sites": e.all, "raw_from": e.raw, "anchored": e.grown is not None,
                     "left_growth": (e.grown or (0, 0))[0], "right_growth": (e.grown or (0, 0))[1], "span_start": e.span[0], "span_end": e.span[1], "patch_start": e.patch[0], "patch_end": e.patch[1],
                     "covers": [{"start": a, "end": b} for a, b in e.covers], "covers_units": e.units, "is_cluster": e.cluster,
                 })
-            out += [{"what": "skipped", "unit_id": u, "reason": r, "detail": d} for u, r, d in made.skipped]
-            out += [{"what": "covered", "unit_id": u, "reason": how, "detail": by} for u, (by, how) in made.covered.items()]
-            out += [{"what": "stat", "reason": k, "detail": str(v)} for k, v in made.stats.items() if v]
-            out += [{"what": "failure", "unit_id": u, "reason": c} for c, u in pt.failures(text, made.entries)]
-        frame = pd.DataFrame([{"passage": key[0]} | r for r in out], columns=_NAMES, dtype=object)
-        return frame.where(frame.notna(), None)
-
-    return rows.groupBy("passage").cogroup(texts.groupBy("passage")).applyInPandas(plan, ROW)
+            out += [{"passage": p, "what": "skipped", "unit_id": u, "reason": r, "detail": d} for u, r, d in made.skipped]
+            out += [{"passage": p, "what": "covered", "unit_id": u, "reason": how, "detail": by} for u, (by, how) in made.covered.items()]
+            out += [{"passage": p, "what": "stat", "reason": k, "detail": str(v)} for k, v in made.stats.items() if v]
+            out += [{"passage": p, "what": "failure", "unit_id": u, "reason": c} for c, u in pt.failures(content[p], made.entries)]
+        return pd.DataFrame({n: pd.Series([r.get(n) for r in out], dtype=object) for n in _NAMES})
+
+    n = 8 * int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64("passage"), F.lit(n)).alias("bucket")
+    rows, texts = rows.select("*", bucket), texts.select("*", bucket)
+    return rows.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInPandas(plan, ROW)
 
 
 def plan_stats(plan: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from textloom.operators import migration as mig
 from textloom.operators import planner as pl
 from textloom.operators import scenarios as sc
 from textloom.operators import tokens as tk
-from textloom.plans.base import LINES, RECORDS, STATES, UNITS, fingerprint_sql, fold_sql, lines, normalize_sql, records, table, units
+from textloom.plans.base import LINES, RECORDS, STATES, UNITS, fingerprint_sql, fold_sql, lines, normalize_sql, records, spread, table, units
 from textloom.sources import archive as ar
 from textloom.sources import story as st
 from textloom.streaming import imports
@@ -96,7 +96,7 @@ def area_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _story(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as passages: their markup has tags, comments, references and scripts."""
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select(F.col("page_id").alias("passage_ord"), F.col("page_id").cast("int").alias("pid"), F.col("url").alias("name"), F.array().cast("array<string>").alias("tags"), F.col("html").alias("content"), F.lit(0).cast("long").alias("content_offset"))
 
 
@@ -536,7 +536,7 @@ def page_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of pages by kind; their texts add up to the page."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
     rows = tk.token_rows(pages, "page_id", "html")
     return rows.groupBy("page_id", "kind").agg(F.count("*").alias("n")).join(tk.covered(rows, pages, "page_id", "html"), "page_id")
 
