@@ -273,9 +273,9 @@ def migrate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mig.migrate_records(old, _shifted(spark, sf_dir))
 
 
-@query(f"WITH {_MIGRATED} SELECT count(*) FILTER (WHERE outcome = 'kept') AS kept, count(*) FILTER (WHERE outcome = 'moved') AS moved, count(*) FILTER (WHERE outcome = 'changed') AS changed, count(*) FILTER (WHERE outcome = 'obsolete') AS obsolete, (SELECT coalesce(list(unit_id ORDER BY unit_id), []) FROM (SELECT unit_id FROM outcomes WHERE outcome = 'moved' ORDER BY unit_id LIMIT 20)) AS moved_sample FROM outcomes")
+@query(f"WITH {_MIGRATED} SELECT count(*) FILTER (WHERE outcome = 'kept') AS kept, count(*) FILTER (WHERE outcome = 'moved') AS moved, count(*) FILTER (WHERE outcome = 'changed') AS changed, count(*) FILTER (WHERE outcome = 'obsolete') AS obsolete, (SELECT coalesce(string_agg(unit_id, '|' ORDER BY unit_id), '') FROM (SELECT unit_id FROM outcomes WHERE outcome = 'moved' ORDER BY unit_id LIMIT 20)) AS moved_sample FROM outcomes")
 def migration_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mig.migration_report(migrate_records(spark, sf_dir))
+    return mig.migration_report(migrate_records(spark, sf_dir)).withColumn("moved_sample", F.array_join("moved_sample", "|"))
 
 
 @query(f"WITH {UNITS} SELECT e.doc_id, u.unit_id FROM units e JOIN labels USING (doc_id) JOIN units u ON u.passage = e.passage AND u.raw_text = e.raw_text")
@@ -492,10 +492,10 @@ def first_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("conv_id", F.col("text").alias("first_text")).join(last.select("conv_id", F.col("text").alias("last_text")), "conv_id")
 
 
-@query("""SELECT page_id, list_filter([CASE WHEN regexp_matches(html, '<<[^>]*?>>') THEN 'rawMacro' END, CASE WHEN regexp_matches(html, '⟦[0-9]+⟧') THEN 'placeholder' END, CASE WHEN regexp_matches(html, '\\[\\[|\\]\\]') THEN 'unresolvedLink' END,
-          CASE WHEN regexp_matches(html, '&lt;&lt;|&amp;lt;|&amp;gt;') THEN 'entityNoise' END, CASE WHEN regexp_matches(html, '\\$\\{[^}]*\\}') THEN 'templateLiteral' END, CASE WHEN regexp_matches(html, '\\$[A-Za-z_]') THEN 'dollarVariable' END], lambda x: x IS NOT NULL) AS leaks FROM pages""")
+@query("""SELECT page_id, array_to_string(list_filter([CASE WHEN regexp_matches(html, '<<[^>]*?>>') THEN 'rawMacro' END, CASE WHEN regexp_matches(html, '⟦[0-9]+⟧') THEN 'placeholder' END, CASE WHEN regexp_matches(html, '\\[\\[|\\]\\]') THEN 'unresolvedLink' END,
+          CASE WHEN regexp_matches(html, '&lt;&lt;|&amp;lt;|&amp;gt;') THEN 'entityNoise' END, CASE WHEN regexp_matches(html, '\\$\\{[^}]*\\}') THEN 'templateLiteral' END, CASE WHEN regexp_matches(html, '\\$[A-Za-z_]') THEN 'dollarVariable' END], lambda x: x IS NOT NULL), '|') AS leaks FROM pages""")
 def leak_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", sc.leaks(F.col("html")).alias("leaks"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(sc.leaks(F.col("html")), "|").alias("leaks"))
 
 
 @query(f"""WITH {LINES}, d AS (SELECT doc_id, i, CASE WHEN contains(line, '|') THEN 1 WHEN contains(line, '.') THEN -1 ELSE 0 END AS step FROM lines),
@@ -594,14 +594,14 @@ def passages_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {LINES}, e AS (SELECT l.doc_id, line, text, CASE WHEN line = '' THEN 0 ELSE (length(text) - length(replace(text, line, ''))) // length(line) END AS n FROM lines l JOIN labels USING (doc_id) JOIN documents USING (doc_id) WHERE i = 0)
-          SELECT doc_id AS ord, 'doc' || doc_id AS passage, CASE WHEN line <> '' THEN n::INT END AS occurrences, CASE WHEN line = '' THEN ['missing-from'] WHEN n > 1 THEN ['occurs-more-than-once'] ELSE []::VARCHAR[] END AS errors FROM e""")
+          SELECT doc_id AS ord, 'doc' || doc_id AS passage, CASE WHEN line <> '' THEN n::INT END AS occurrences, CASE WHEN line = '' THEN 'missing-from' WHEN n > 1 THEN 'occurs-more-than-once' ELSE '' END AS errors FROM e""")
 def validate_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first lines of labelled documents as entries."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id")
     heads = lines(docs).where("i = 0").join(labels, "doc_id")
     entries = heads.select(F.col("doc_id").alias("ord"), F.lit(None).cast("string").alias("id"), F.concat(F.lit("doc"), "doc_id").alias("passage"), F.col("line").alias("from_text"), F.concat("line", F.lit(" zz")).alias("to_text"), F.lit(None).cast("boolean").alias("all_sites"), F.lit(None).cast("array<struct<code: string, reason: string>>").alias("allow"))
     passages = docs.select(F.concat(F.lit("doc"), "doc_id").alias("name"), F.col("text").alias("content"), F.col("doc_id").alias("passage_ord"))
-    return mig.validate_entries(entries, passages).select("ord", "passage", "occurrences", "errors")
+    return mig.validate_entries(entries, passages).select("ord", "passage", "occurrences", F.array_join("errors", "|").alias("errors"))
 
 
 @query("SELECT url AS path, CASE WHEN page_id % 4 = 0 THEN 'exact' WHEN page_id % 4 = 1 THEN 'version-substituted' WHEN page_id % 4 = 2 THEN 'whitespace' ELSE 'changed' END AS relation FROM (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url)")
@@ -634,11 +634,11 @@ def text_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH w AS (SELECT conv_id, list(text ORDER BY turn) AS all_t FROM conversations GROUP BY conv_id)
-          SELECT conv_id, list_filter(all_t, lambda x: x <> all_t[1]) AS introduced, list_filter(all_t, lambda x: x = all_t[1]) AS pre_existing FROM w""")
+          SELECT conv_id, array_to_string(list_filter(all_t, lambda x: x <> all_t[1]), '|') AS introduced, array_to_string(list_filter(all_t, lambda x: x = all_t[1]), '|') AS pre_existing FROM w""")
 def visible_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("packed"))
     new, old = sc.visible_errors(F.col("packed"), F.slice("packed", 1, 1))
-    return rows.select("conv_id", new.alias("introduced"), old.alias("pre_existing"))
+    return rows.select("conv_id", F.array_join(new, "|").alias("introduced"), F.array_join(old, "|").alias("pre_existing"))
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '[\",\\r\\n]') THEN '\"' || replace(text, '\"', '\"\"') || '\"' ELSE text END AS cell FROM documents")
