@@ -22,14 +22,15 @@ def scratch(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str, narrow: bool = False) -> tuple[DataFrame, str]:
+def written(df: DataFrame, name: str, narrow: bool = False, files: int | None = None) -> tuple[DataFrame, str]:
     """``df`` as a table in the shared folder, read again: cuts the lineage and survives lost executors.
 
-    ``narrow`` is for tables of small rows that come out of a shuffle: eight of its partitions share a file.
+    ``narrow`` is for tables of small rows that come out of a shuffle: eight of its partitions share a file; ``files`` says how many there
+    are at most, where the number of rows is known.
     """
     spark = df.sparkSession
     if narrow:
-        df = df.coalesce(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+        df = df.coalesce(files or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
@@ -39,3 +40,12 @@ def drop(spark: SparkSession, path: str) -> None:
     """Delete a table of ``written``."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with Arrow batches of fewer rows than Spark's default if the session still has that: rows of these operators are whole texts,
+    and a batch is in memory several times, in the JVM and in Python."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name)) == 10_000:
+        conf.set(name, rows)
+    return df

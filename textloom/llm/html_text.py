@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import small_batches
+
 # Element names of the HTML standard, and words that sites use in class, id and role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -203,4 +205,4 @@ def extract_html(pages: DataFrame, html_col: str = "html", name: str = "main_tex
         for part in parts:
             yield pd.Series([main_text(h) if isinstance(h, str) else "" for h in part], dtype=object)
 
-    return pages.withColumn(name, extract(F.col(html_col)))
+    return small_batches(pages).withColumn(name, extract(F.col(html_col)))

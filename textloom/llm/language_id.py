@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import small_batches
+
 DIMENSIONS, SEED, MAX_LANGUAGES = 1024, 9, 4096
 CHUNK, MAX_VECTORS = 1 << 19, 1 << 14
 UNKNOWN = "und"
@@ -132,7 +134,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
         yield pd.DataFrame(rows, columns=["lang", "vector"])
 
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    parts = rows.mapInPandas(sums, "lang string, vector array<long>").select("lang", F.posexplode("vector").alias("at", "v"))
+    parts = small_batches(rows).mapInPandas(sums, "lang string, vector array<long>").select("lang", F.posexplode("vector").alias("at", "v"))
     added = parts.groupBy("lang", "at").agg(F.sum("v").alias("v")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("v"))
     found = added.limit(MAX_LANGUAGES + 1).collect()
     if len(found) > MAX_LANGUAGES:
@@ -159,7 +161,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                 out += [(langs[b], float(min(1.0, max(0.0, c[b])))) if h else (UNKNOWN, 0.0) for h, b, c in zip(has, best, cos)]
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    return docs.withColumn(name, predict(F.col(text_col)))
+    return small_batches(docs).withColumn(name, predict(F.col(text_col)))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import small_batches
+
 PLACES, MIN_DOCS, MAX_TRAIN = 1 << 20, 8, 6000
 STEPS, RATE, DECAY, BALANCE = 250, 0.05, 2e-4, 0.5
 PIECE = 1 << 20
@@ -165,4 +167,4 @@ def score(docs: DataFrame, model: dict | None, n_grades: int, tail: int, text_co
             above = 1 - _sigmoid(np.array(model["cuts"])[None, :] - np.array(sums)[:, None])
             yield pd.DataFrame({"expected_grade": above.sum(1), "tail_prob": above[:, tail - 1]})
 
-    return docs.withColumn(name, grade(F.col(text_col)))
+    return small_batches(docs).withColumn(name, grade(F.col(text_col)))

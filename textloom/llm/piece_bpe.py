@@ -23,9 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import small_batches
+
 MARK = "▁"
 NONE = np.int32(2**31 - 1)
-CACHE_WORDS, BLOCK_CHARS = 400_000, 1 << 21
+CACHE_WORDS, BLOCK_CHARS = 400_000, 1 << 20
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _LOADED: dict[str, "PieceModel"] = {}
 
@@ -224,5 +226,6 @@ def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", name:
                     row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest())
                     rows.append((*row, np.frombuffer(ids, "<u4").astype(np.int32)) if keep_ids else row)
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids)
+        model.cache.clear()  # the worker may do other work next
 
-    return docs.withColumn(name, encode(F.col(text_col)))
+    return small_batches(docs).withColumn(name, encode(F.col(text_col)))
