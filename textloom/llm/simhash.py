@@ -32,11 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm.common import written
+from textloom.llm.common import small_batches, written
 from textloom.llm.components import components
 
 SEED, BLOCK = 42, 1 << 16
-SUBSET, SUBSETS, PROBE_WORDS, FAR, BACK = 28, 10, 2, 14, 3
+SUBSET, SUBSETS, PROBE_WORDS, FAR = 28, 10, 2, 14
 
 
 def simhash(text: str | None, words: int) -> int:
@@ -66,7 +66,7 @@ def with_fingerprint(docs: DataFrame, words: int, text_col: str = "text", name:
         for part in texts:
             yield pd.Series(np.array([simhash(t, words) for t in part], np.uint64).view(np.int64))
 
-    return docs.withColumn(name, fingerprints(F.col(text_col)))
+    return small_batches(docs).withColumn(name, fingerprints(F.col(text_col)))
 
 
 def ball(radius: int) -> list[int]:
@@ -119,7 +119,7 @@ def _text_key(text_col: str) -> Column:
 
 
 def _subset_links(fps: DataFrame) -> DataFrame:
-    """Pairs (u, v) of distinct fingerprints at most FAR bits apart, at most BACK places apart under a common value of some subset's bits."""
+    """Pairs (u, v) of distinct fingerprints at most FAR bits apart that are neighbours under a common value of some subset's bits."""
     rng = Random(SEED)
     masks = []
     for t in range(SUBSETS):
@@ -130,12 +130,10 @@ def _subset_links(fps: DataFrame) -> DataFrame:
     signed = [x.replace("-9223372036854775808L", "shiftleft(1L, 63)") for x in signed]
     near = fps.select("fp", F.explode(F.expr(f"array({', '.join(signed)})")).alias("m"))
     value = F.xxhash64("m.t", (F.col("fp").bitwiseXOR(F.col("m.flip"))).bitwiseAND(F.col("m.keep")))
-    w = Window.partitionBy("value").orderBy("fp")
-    before = F.array(*[F.lag("fp", k).over(w) for k in range(1, BACK + 1)])
-    met = near.select("fp", value.alias("value")).select(F.col("fp").alias("u"), before.alias("vs"))
-    close = F.filter("vs", lambda v: v.isNotNull() & (F.bit_count(F.col("u").bitwiseXOR(v)) <= FAR))
-    pairs = met.select("u", close.alias("vs")).where("size(vs) > 0").select("u", F.explode("vs").alias("v")).where("u != v")
-    return pairs.distinct()
+    turned = F.expr("shiftleft(fp, 6 * m.t) | shiftrightunsigned(fp, 64 - 6 * m.t)")  # other bits lead in each subset's order
+    before = F.lag("fp").over(Window.partitionBy("value").orderBy("turned"))
+    pairs = near.select("fp", value.alias("value"), turned.alias("turned")).select(F.col("fp").alias("u"), before.alias("v")).where("v IS NOT NULL AND u != v")
+    return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= FAR).distinct()
 
 
 def near_copies(docs: DataFrame, words: int = 5, least_similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,13 +144,13 @@ def near_copies(docs: DataFrame, words: int = 5, least_similarity: float = 0.8,
     """
     own = with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), PROBE_WORDS)
     own, _ = written(own.select("doc_id", "fp", _text_key("text").alias("key")), "fingerprints")
-    texts, _ = written(own.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "texts")
+    texts = own.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"))
     first = texts.groupBy("fp").agg(F.min("key").alias("key"))
     links = _subset_links(first.select("fp"))
     across = links.join(first.select(F.col("fp").alias("u"), F.col("key").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("key").alias("b")), "v").select("a", "b")
     inside = texts.join(first.withColumnRenamed("key", "b"), "fp").where("key != b").select(F.col("key").alias("a"), "b")
     pairs, _ = written(across.unionByName(inside), "pairs", narrow=True)
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key", "least"), "key")
+    involved = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct().join(texts.select("key", "least"), "key")
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -161,7 +159,7 @@ def near_copies(docs: DataFrame, words: int = 5, least_similarity: float = 0.8,
 
     bodies = docs.select(F.col(id_col).alias("doc_id"), _text_key(text_col).alias("key"), F.col(text_col).alias("text"))
     bodies = bodies.join(involved.withColumnRenamed("key", "k"), F.expr("key = k AND doc_id <=> least"), "left_semi").select("key", "text")
-    sketches, _ = written(bodies.mapInPandas(sets, "key string, s binary").dropDuplicates(["key"]), "sets")
+    sketches, _ = written(bodies.mapInPandas(sets, "key string, s binary").dropDuplicates(["key"]), "sets", narrow=True)
 
     @F.pandas_udf("double")
     def compare(a: pd.Series, b: pd.Series) -> pd.Series:
