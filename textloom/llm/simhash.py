@@ -21,7 +21,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from random import Random
 
@@ -36,7 +36,8 @@ from textloom.llm.common import small_batches, written
 from textloom.llm.components import components
 
 SEED, BLOCK = 42, 1 << 16
-SUBSET, SUBSETS, PROBE_WORDS, FAR = 28, 10, 2, 14
+SUBSET, SUBSETS, PROBE_WORDS = 28, 10, 2
+HUB_ROUNDS, PAIRS_A_ROW = 6, 2
 
 
 def simhash(text: str | None, words: int) -> int:
@@ -118,8 +119,8 @@ def _text_key(text_col: str) -> Column:
     return F.concat(F.lpad(F.hex(F.xxhash64(text)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(7), text)), 16, "0"))
 
 
-def _subset_links(fps: DataFrame) -> DataFrame:
-    """Pairs (u, v) of distinct fingerprints at most FAR bits apart that are neighbours under a common value of some subset's bits."""
+def _subset_values(fps: DataFrame) -> DataFrame:
+    """(key, value): the values of each row's fingerprint under the subsets' bits and their neighbours at distance 1."""
     rng = Random(SEED)
     masks = []
     for t in range(SUBSETS):
@@ -128,12 +129,45 @@ def _subset_links(fps: DataFrame) -> DataFrame:
         masks += [(t, keep, 0), *((t, keep, 1 << b) for b in bits)]
     signed = [f"named_struct('t', {t}, 'keep', {k - (1 << 64) if k >> 63 else k}L, 'flip', {f - (1 << 64) if f >> 63 else f}L)" for t, k, f in masks]
     signed = [x.replace("-9223372036854775808L", "shiftleft(1L, 63)") for x in signed]
-    near = fps.select("fp", F.explode(F.expr(f"array({', '.join(signed)})")).alias("m"))
-    value = F.xxhash64("m.t", (F.col("fp").bitwiseXOR(F.col("m.flip"))).bitwiseAND(F.col("m.keep")))
-    turned = F.expr("shiftleft(fp, 6 * m.t) | shiftrightunsigned(fp, 64 - 6 * m.t)")  # other bits lead in each subset's order
-    before = F.lag("fp").over(Window.partitionBy("value").orderBy("turned"))
-    pairs = near.select("fp", value.alias("value"), turned.alias("turned")).select(F.col("fp").alias("u"), before.alias("v")).where("v IS NOT NULL AND u != v")
-    return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= FAR).distinct()
+    near = fps.select("key", "fp", F.explode(F.expr(f"array({', '.join(signed)})")).alias("m"))
+    return near.select("key", F.xxhash64("m.t", (F.col("fp").bitwiseXOR(F.col("m.flip"))).bitwiseAND(F.col("m.keep"))).alias("value"))
+
+
+def _shared(values: DataFrame) -> DataFrame:
+    """The rows (key, value) whose value has at least two keys."""
+    ends = values.groupBy("value").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("value")
+    return values.join(ends, "value").select("key", "value")
+
+
+def _verified(shared: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(u, v) of components, as ``components`` gives them, that join all pairs of keys under a common value that are ``alike``.
+
+    Members of a bucket that already are in one component need no comparison.  So while the pairs left would be too many for that,
+    one member of each bucket is compared with those of other components, which settles dense groups in linear work; then all pairs left are compared.
+    """
+    shared, _ = written(shared.distinct(), "shared", narrow=True)
+    rows = shared.count()
+    roots = None
+    for n in range(HUB_ROUNDS + 1):
+        rooted = shared.withColumn("root", F.col("key"))
+        if roots is not None:
+            rooted = shared.join(roots.withColumnRenamed("u", "key"), "key", "left").select("key", "value", F.coalesce("v", "key").alias("root"))
+        parts = rooted.groupBy("value", "root").agg(F.count("*").alias("n"))
+        buckets = parts.groupBy("value").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("open")).where("open > 0")
+        left, _ = written(rooted.join(buckets, "value").select("key", "value", "root"), "open", narrow=True)
+        total = buckets.agg(F.coalesce(F.sum("open"), F.lit(0.0)).alias("n")).first().n
+        last = total <= PAIRS_A_ROW * rows or n == HUB_ROUNDS
+        if last:
+            pairs = left.alias("a").join(left.alias("b"), F.expr("a.value = b.value AND a.key < b.key AND a.root != b.root")).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
+        else:
+            order = F.xxhash64(F.lit(n), "key")
+            at = left.groupBy("value").agg(F.min(order).alias("at"))
+            hubs = left.join(at, "value").where(order == F.col("at")).select("value", F.col("key").alias("b"), F.col("root").alias("of"))
+            pairs = left.join(hubs, "value").where("key != b AND root != of").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
+        links = alike(pairs.distinct()).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        roots, _ = components(links if roots is None else links.unionByName(roots))
+        if last:
+            return roots
 
 
 def near_copies(docs: DataFrame, words: int = 5, least_similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,11 +180,9 @@ def near_copies(docs: DataFrame, words: int = 5, least_similarity: float = 0.8,
     own, _ = written(own.select("doc_id", "fp", _text_key("text").alias("key")), "fingerprints")
     texts = own.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"))
     first = texts.groupBy("fp").agg(F.min("key").alias("key"))
-    links = _subset_links(first.select("fp"))
-    across = links.join(first.select(F.col("fp").alias("u"), F.col("key").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("key").alias("b")), "v").select("a", "b")
-    inside = texts.join(first.withColumnRenamed("key", "b"), "fp").where("key != b").select(F.col("key").alias("a"), "b")
-    pairs, _ = written(across.unionByName(inside), "pairs", narrow=True)
-    involved = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct().join(texts.select("key", "least"), "key")
+    inside = texts.join(first.withColumnRenamed("key", "b"), "fp").where("key != b").select(F.explode(F.array("key", "b")).alias("key"), F.xxhash64("key", "b").alias("value"))
+    shared, _ = written(_shared(_subset_values(first)).unionByName(inside), "values", narrow=True)
+    involved = shared.select("key").distinct().join(texts.select("key", "least"), "key")
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -165,8 +197,11 @@ def near_copies(docs: DataFrame, words: int = 5, least_similarity: float = 0.8,
     def compare(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    both = pairs.join(sketches.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sketches.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
-    roots, _ = components(both.where(compare("sa", "sb") >= least_similarity).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sketches.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sketches.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
+        return both.where(compare("sa", "sb") >= least_similarity).select("a", "b")
+
+    roots = _verified(shared, alike)
     rooted = texts.join(roots.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("least"), F.col("key").alias("key"))).alias("best"))
     stay = best.select(F.col("best.key").alias("__near_key"), F.col("best.least").alias("__near_id"))
