@@ -26,3 +26,13 @@ def test_all_pairs_of_a_crowded_bucket_are_compared(spark):
         own = passage + words(rng, 45)
         pairs.append((own, own + words(rng, 12)))
     assert copies_left(spark, pairs) <= 5
+
+
+def test_texts_of_one_fingerprint_are_compared_with_each_other(spark):
+    """One passage repeated many times decides the fingerprint; the distinct bodies decide the similarity."""
+    rng = random.Random(12)
+    passage, pairs = words(rng, 5) * 400, []
+    for _ in range(40):
+        own = passage + words(rng, 100)
+        pairs.append((own, own + words(rng, 5)))
+    assert copies_left(spark, pairs) == 0

@@ -179,9 +179,7 @@ def near_copies(docs: DataFrame, words: int = 5, least_similarity: float = 0.8,
     own = with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), PROBE_WORDS)
     own, _ = written(own.select("doc_id", "fp", _text_key("text").alias("key")), "fingerprints")
     texts = own.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"))
-    first = texts.groupBy("fp").agg(F.min("key").alias("key"))
-    inside = texts.join(first.withColumnRenamed("key", "b"), "fp").where("key != b").select(F.explode(F.array("key", "b")).alias("key"), F.xxhash64("key", "b").alias("value"))
-    shared, _ = written(_shared(_subset_values(first)).unionByName(inside), "values", narrow=True)
+    shared, _ = written(_shared(_subset_values(texts)), "values", narrow=True)
     involved = shared.select("key").distinct().join(texts.select("key", "least"), "key")
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
