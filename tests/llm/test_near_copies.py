@@ -36,3 +36,20 @@ def test_texts_of_one_fingerprint_are_compared_with_each_other(spark):
         own = passage + words(rng, 100)
         pairs.append((own, own + words(rng, 5)))
     assert copies_left(spark, pairs) == 0
+
+
+def similarity_of(a, b):
+    x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_block_edits_and_appended_passages_are_found(spark):
+    """Pairs at similarity 0.8 to 0.9: one passage replaced, or one appended."""
+    rng, pairs = random.Random(13), []
+    while len(pairs) < 300:
+        own, n = words(rng, 300), rng.randrange(14, 30)
+        at = rng.randrange(300 - n)
+        copy = own[:at] + words(rng, n) + own[at + n :] if len(pairs) % 2 else own + words(rng, rng.randrange(34, 72))
+        if 0.8 <= similarity_of(own, copy) <= 0.9:
+            pairs.append((own, copy))
+    assert copies_left(spark, pairs) == 0

@@ -10,9 +10,10 @@ order of a value's fingerprints are compared, and those within ``bits`` become l
 of one value are all within 2 of each other, at most 65 of them, so links of neighbours lose nothing of a group;
 for more bits all pairs under a value are verified.  Copies share a fingerprint and are one row throughout.
 
-``near_copies`` uses the same hashing for a similarity of shingle sets: random subsets of ``SUBSET`` of the 64 bits each take part
-in the ball hashing with radius 1, so that copies too far apart for one ball of 64 bits still meet.  These fingerprints are of two-word
-shingles, which an edit changes less than the five-word shingles that decide.  What meets is verified by the exact Jaccard similarity of the texts' sets of ``words``-word shingles.
+``near_copies`` is for a similarity of shingle sets, which fingerprints of 64 bits can't tell: at Jaccard similarity 0.8 they lie 9 bits
+apart on average, far beyond a ball that could be hashed.  Texts meet by MinHash there: BANDS bands of ROWS least values of their distinct
+``words``-word shingles.  A pair at similarity s misses all bands with probability (1 - s^ROWS)^BANDS: 0.000005 at 0.8, less above.  All that meet are
+verified by the exact similarity, unless they are in one component already.  Texts with equal sets are one node throughout.
 
 Defined results: null texts count as empty; documents without words link with each other; rows that repeat a doc_id give
 a row each; a null doc_id is never a component's id unless all ids of the component are null; an empty
@@ -36,8 +37,11 @@ from textloom.llm.common import small_batches, written
 from textloom.llm.components import components
 
 SEED, BLOCK = 42, 1 << 16
-SUBSET, SUBSETS, PROBE_WORDS = 28, 10, 2
+BANDS, ROWS = 40, 6
 HUB_ROUNDS, PAIRS_A_ROW = 6, 2
+_rng = Random(SEED)
+FACTORS = np.array([[_rng.getrandbits(32) | 1] for _ in range(BANDS * ROWS)], np.uint32)
+TERMS = np.array([[_rng.getrandbits(32)] for _ in range(BANDS * ROWS)], np.uint32)
 
 
 def simhash(text: str | None, words: int) -> int:
@@ -119,18 +123,15 @@ def _text_key(text_col: str) -> Column:
     return F.concat(F.lpad(F.hex(F.xxhash64(text)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(7), text)), 16, "0"))
 
 
-def _subset_values(fps: DataFrame) -> DataFrame:
-    """(key, value): the values of each row's fingerprint under the subsets' bits and their neighbours at distance 1."""
-    rng = Random(SEED)
-    masks = []
-    for t in range(SUBSETS):
-        bits = sorted(rng.sample(range(64), SUBSET))
-        keep = sum(1 << b for b in bits)
-        masks += [(t, keep, 0), *((t, keep, 1 << b) for b in bits)]
-    signed = [f"named_struct('t', {t}, 'keep', {k - (1 << 64) if k >> 63 else k}L, 'flip', {f - (1 << 64) if f >> 63 else f}L)" for t, k, f in masks]
-    signed = [x.replace("-9223372036854775808L", "shiftleft(1L, 63)") for x in signed]
-    near = fps.select("key", "fp", F.explode(F.expr(f"array({', '.join(signed)})")).alias("m"))
-    return near.select("key", F.xxhash64("m.t", (F.col("fp").bitwiseXOR(F.col("m.flip"))).bitwiseAND(F.col("m.keep"))).alias("value"))
+def min_hashes(hashes: np.ndarray) -> np.ndarray:
+    """A value for each of BANDS bands of ROWS least values; none for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
+    for a in range(0, len(hashes), 512):
+        np.minimum(least, (FACTORS * hashes[a : a + 512] + TERMS).min(1), out=least)
+    packed = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), n) for n, x in enumerate(packed)], np.uint64).view(np.int64)
 
 
 def _shared(values: DataFrame) -> DataFrame:
@@ -173,22 +174,32 @@ def _verified(shared: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> Dat
 def near_copies(docs: DataFrame, words: int = 5, least_similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each group of linked texts the document with the least id stays.
 
-    Texts are linked if they are equal or if they meet by their fingerprints and their shingle sets are at least this similar.
+    Texts are linked if they are equal or if they meet in a band and their shingle sets are at least this similar.
     Rows without an id stay only where their group has no id at all.
     """
-    own = with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), PROBE_WORDS)
-    own, _ = written(own.select("doc_id", "fp", _text_key("text").alias("key")), "fingerprints")
-    texts = own.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"))
-    shared, _ = written(_shared(_subset_values(texts)), "values", narrow=True)
-    involved = shared.select("key").distinct().join(texts.select("key", "least"), "key")
+
+    @F.pandas_udf("struct<own: string, bands: array<long>>")
+    def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in texts:
+            found = [shingle_set(x, words) for x in part]
+            own = [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in found]
+            yield pd.DataFrame({"own": own, "bands": [min_hashes(x) for x in found]})
+
+    rows = small_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", _text_key("text").alias("text_key"), sketch("text").alias("x"))
+    rows, _ = written(rows.select("doc_id", "text_key", F.col("x.own").alias("key"), F.col("x.bands").alias("bands")), "sketches")
+    texts = rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("least"), F.col("text_key").alias("text_key"))).alias("best"), F.first("bands").alias("bands"))
+    texts, _ = written(texts, "texts", narrow=True)
+    values = texts.select("key", F.explode("bands").alias("value"))
+    shared, _ = written(_shared(values), "values", narrow=True)
+    involved = shared.select("key").distinct().join(texts.select("key", "best"), "key").select(F.col("key").alias("k"), "best.least", "best.text_key")
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             packed = [shingle_set(t if isinstance(t, str) else None, words).tobytes() for t in frame["text"]]
-            yield pd.DataFrame({"key": frame["key"], "s": np.array([*packed, b""], object)[:-1]})
+            yield pd.DataFrame({"key": frame["k"], "s": np.array([*packed, b""], object)[:-1]})
 
-    bodies = docs.select(F.col(id_col).alias("doc_id"), _text_key(text_col).alias("key"), F.col(text_col).alias("text"))
-    bodies = bodies.join(involved.withColumnRenamed("key", "k"), F.expr("key = k AND doc_id <=> least"), "left_semi").select("key", "text")
+    bodies = docs.select(F.col(id_col).alias("doc_id"), _text_key(text_col).alias("own_key"), F.col(text_col).alias("text"))
+    bodies = bodies.join(involved, F.expr("own_key = text_key AND doc_id <=> least")).select("k", "text")
     sketches, _ = written(bodies.mapInPandas(sets, "key string, s binary").dropDuplicates(["key"]), "sets", narrow=True)
 
     @F.pandas_udf("double")
@@ -200,8 +211,8 @@ def near_copies(docs: DataFrame, words: int = 5, least_similarity: float = 0.8,
         return both.where(compare("sa", "sb") >= least_similarity).select("a", "b")
 
     roots = _verified(shared, alike)
-    rooted = texts.join(roots.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("least"), F.col("key").alias("key"))).alias("best"))
-    stay = best.select(F.col("best.key").alias("__near_key"), F.col("best.least").alias("__near_id"))
+    rooted = texts.select("key", "best").join(roots.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left").select("best", F.coalesce("root", "key").alias("root"))
+    best = rooted.groupBy("root").agg(F.min("best").alias("best"))
+    stay = best.select(F.col("best.text_key").alias("__near_key"), F.col("best.least").alias("__near_id"))
     kept = docs.withColumn("__near_own", _text_key(text_col)).join(stay, (F.col("__near_own") == F.col("__near_key")) & F.col(id_col).eqNullSafe(F.col("__near_id")), "left_semi")
     return kept.dropDuplicates([id_col, "__near_own"]).drop("__near_own")
