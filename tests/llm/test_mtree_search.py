@@ -81,3 +81,10 @@ def test_edge_rows(spark):
     huge = spark.createDataFrame([(1, [1e30]), (2, [-1e30]), (None, [1.0])], "vec_id long, embedding array<double>")
     assert got(huge.where("vec_id = 1").union(huge.where("vec_id IS NULL")), 1, 3) == [(1, 1, None, 2**63 - 1)]
     assert got(huge, 2, 3)[0][:2] == (2, 1)
+
+
+def test_rows_that_repeat_the_querys_id_leave_room_for_others(spark):
+    rows = [(0, [1.0, 2.0])] * 25 + [(i, [1.0, 2.0]) for i in range(1, 31)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = mtree_search(df, F.col("vec_id") == 0, 20).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == list(range(1, 21))

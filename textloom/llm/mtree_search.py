@@ -152,8 +152,9 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def mtree_search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k best candidates of each row for which ``query``, over vec_id, holds."""
     rows = quantised(vectors, id_col, vector_col)
-    least = F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))
-    candidates = rows.withColumn("nth", least).where(F.col("nth") <= k + 1).select("vec_id", "v", "dims", "key")
+    least = F.dense_rank().over(Window.partitionBy("key").orderBy("vec_id"))  # a query's own id may repeat
+    again = F.row_number().over(Window.partitionBy("key", "vec_id").orderBy("dims"))
+    candidates = rows.withColumn("nth", least).where(F.col("nth") <= k + 1).withColumn("again", again).where(F.col("again") <= k).select("vec_id", "v", "dims", "key")
     asked = rows.where(query & (F.col("vec_id") != NO_ID)).dropDuplicates(["vec_id", "key"])
     total = rows.agg(F.count("*").alias("n"), F.count(F.when(query, 1)).alias("q")).first()
     n_c, n_q = max(1, -(-total.n // CANDIDATES)), max(1, -(-total.q // QUERIES))
