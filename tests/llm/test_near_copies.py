@@ -1,6 +1,7 @@
 import random
+from itertools import combinations
 
-from textloom.llm.simhash import near_copies
+from textloom.llm.simhash import near_copies, shingle_set, similarity
 
 
 def words(rng, n):
@@ -53,3 +54,23 @@ def test_block_edits_and_appended_passages_are_found(spark):
         if 0.8 <= similarity_of(own, copy) <= 0.9:
             pairs.append((own, copy))
     assert copies_left(spark, pairs) == 0
+
+
+def test_no_near_copy_of_the_given_documents_is_missed(spark):
+    """Recall over near copies alone: exact copies are taken out first."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").dropna().dropDuplicates(["text"]).collect()
+    sets = {r.doc_id: shingle_set(r.text, 5).tobytes() for r in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in combinations(sets, 2):
+        if 4 * len(sets[a]) <= 5 * len(sets[b]) and 4 * len(sets[b]) <= 5 * len(sets[a]) and similarity(sets[a], sets[b]) >= 0.8:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    want = {find(i) for i in sets}
+    assert len(want) < len(sets)
+    assert left(spark, [tuple(r) for r in rows]) == want
