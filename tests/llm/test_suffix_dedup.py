@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from textloom.llm.suffix_dedup import SuffixFamily, suffix_dedup
+from textloom.llm.suffix_dedup import Batch, SuffixFamily, suffix_dedup
 
 
 def brute(rows, length):
@@ -66,3 +66,16 @@ def test_empty_table_and_null_ids(spark):
     assert suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = spark.createDataFrame([(None, "p" * 60), (1, "p" * 60)], "doc_id long, text string")
     assert {(r.doc_id, r.n_removed) for r in suffix_dedup(rows).collect()} == {(None, 60), (1, 0)}
+
+
+def test_runs_do_not_depend_on_the_order_of_rows(spark):
+    """Every step reads its rows anew, in another order; runs are named by their numbers, so these must be the same."""
+    rng = random.Random(5)
+    rows = [(i // 2, " ".join(rng.choices("alpha beta gamma delta".split(), k=rng.randrange(60)))) for i in range(80)] + [(None, "x" * 90), (2**63 - 1, "y" * 90)]
+    want = Batch([r[0] for r in rows], [r[1] for r in rows], 50, 26)
+    for _ in range(5):
+        rng.shuffle(rows)
+        got = Batch([r[0] for r in rows], [r[1] for r in rows], 50, 26)
+        assert got.names == want.names and got.raw == want.raw
+        for name in ("ids", "owner", "begin", "count", "doc"):
+            assert (getattr(got, name) == getattr(want, name)).all()

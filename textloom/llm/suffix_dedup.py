@@ -18,11 +18,13 @@ How the work is laid out
 ``answer``   Masks go back to the batches, which mark the covered bytes and hash what is left.
 
 Pair lists are never made: a passage that stands in a third of all documents costs one run for each
-batch.  Memory is bounded by the size of a batch or bucket; both follow ``spark.sql.shuffle.partitions``.
+batch.  A run is named by its number in its batch.  Rows come out of a shuffle in any order, and in another one when they
+are read again, so a batch first puts its rows in order of id and text: its runs then have the same numbers in every step.
+Memory is bounded by the size of a batch or bucket; their number follows the bytes of the input.
 
 Defined results: null texts count as empty; texts shorter than ``length`` lose nothing; rows that repeat
-a doc_id are judged as parts of one document with separate results; rows with a null doc_id come after
-all others and count as one document; an empty table gives an empty result; other columns are ignored.
+a doc_id are judged as parts of one document with separate results; a null doc_id counts as the id 2^63 - 1, so such rows come after
+all others as one document; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ from pyspark.sql import functions as F
 LENGTH = 50
 KGRAM = 26
 BATCH_WINDOWS = 1 << 16
+BUCKET_BYTES = 32 << 20
 NULL_ID = np.iinfo(np.int64).max
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -72,9 +75,12 @@ class Batch:
     """The texts of a batch, one after another, and their runs of windows under one minimiser."""
 
     def __init__(self, ids, texts, length: int, k: int):
-        raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
+        rows = [(NULL_ID if i is None or i != i else int(i), i is None or i != i, t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"") for i, t in zip(ids, texts)]
+        rows.sort()
+        raw = [r[2] for r in rows]
         self.raw, self.length = raw, length
-        self.ids = np.array([NULL_ID if i is None or i != i else int(i) for i in ids], np.int64)
+        self.names = [None if r[1] else r[0] for r in rows]
+        self.ids = np.array([r[0] for r in rows], np.int64)
         self.sizes = np.array([len(r) for r in raw], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         data = self.data = np.frombuffer(b"".join(raw), np.uint8)
@@ -198,9 +204,10 @@ def _masks(text: np.ndarray, begin: np.ndarray, count: np.ndarray, docs: np.ndar
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (see the module's text)."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = texts.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(2 * n)).cast("int")).repartition("batch")
+    n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BUCKET_BYTES))
+    texts = texts.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(2 * n)).cast("int")).repartition(n, "batch")
 
     def probe(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         h = np.unique(Batch(pdf["doc_id"], pdf["text"], length, kgram).owner)
@@ -285,16 +292,16 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, id_c
             np.add.at(edge, at + length, -1)
         gone = np.cumsum(edge[:-1]) > 0
         rows = []
-        for i, raw, s, e in zip(left["doc_id"], x.raw, x.starts[:-1], x.starts[1:]):
+        for i, raw, s, e in zip(x.names, x.raw, x.starts[:-1], x.starts[1:]):
             g = gone[s:e]
             spans = int(np.count_nonzero(g[1:] & ~g[:-1])) + int(len(g) > 0 and g[0])
             kept = x.data[s:e][~g].tobytes() if spans else raw
-            rows.append((None if i is None or i != i else int(i), len(raw), int(g.sum()), spans, hashlib.sha256(kept).hexdigest()))
+            rows.append((i, len(raw), int(g.sum()), spans, hashlib.sha256(kept).hexdigest()))
         out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
         return out.astype({"doc_id": "Int64"})
 
-    sent = texts.groupBy("batch").applyInPandas(probe, "bucket int, batch int, hashes binary")
+    sent = texts.groupBy("batch").applyInPandas(probe, "bucket int, batch int, hashes binary").repartition(n, "bucket")
     shared = sent.groupBy("bucket").applyInPandas(meet, "batch int, shared binary")
-    sent = texts.groupBy("batch").cogroup(shared.groupBy("batch")).applyInPandas(runs, "bucket int, batch int, blob binary")
+    sent = texts.groupBy("batch").cogroup(shared.groupBy("batch")).applyInPandas(runs, "bucket int, batch int, blob binary").repartition(n, "bucket")
     masks = sent.groupBy("bucket").applyInPandas(index, "batch int, masks binary")
     return texts.groupBy("batch").cogroup(masks.groupBy("batch")).applyInPandas(answer, RESULT)
