@@ -5,7 +5,8 @@ document's count is a Poisson variate of that mean, found by inverting the distr
 hash of (seed, document) gives, so the same input always gives the same mixture, whatever executors are lost.
 Means over ``PART`` are sums of equal parts with a hash each; a part's distribution has 64 steps, after which
 less is left than the 52 bits of the uniform number resolve, so no count is capped.  Documents are exploded by their
-counts and shuffled globally by a hash of (seed, document, copy).
+counts and shuffled globally by a hash of (seed, document, copy): another hash of it deals them out, and it is their order in a
+partition.  No range is sampled, so the texts are read once.
 
 The per-source table goes to all tasks only if it has at most ``MAX_BROADCAST`` rows, by count; beyond that it is a
 shuffled join in which AQE splits large sources.
@@ -73,7 +74,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     n = one + F.when(F.col("__mix_parts") > 1, more).otherwise(0)
     both = both.withColumn("__mix_n", n).where("__mix_n > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
     both = both.withColumn("__mix_order", F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "__mix_copy"))
-    dealt = both.select(*[F.col(f"`{c}`") for c in docs.columns], "__mix_copy", "__mix_order").repartitionByRange("__mix_order")
+    dealt = both.select(*[F.col(f"`{c}`") for c in docs.columns], "__mix_copy", "__mix_order").repartition("__mix_order")
     dealt = dealt.sortWithinPartitions("__mix_order")
     copies = [F.col("__mix_copy").alias(copy_col)] if copy_col else []
     return dealt.select(*[F.col(f"`{c}`") for c in docs.columns], *copies)
