@@ -74,3 +74,51 @@ def test_no_near_copy_of_the_given_documents_is_missed(spark):
     want = {find(i) for i in sets}
     assert len(want) < len(sets)
     assert left(spark, [tuple(r) for r in rows]) == want
+
+
+def test_large_buckets_are_cut_into_pairs_of_blocks(spark, monkeypatch):
+    """Buckets beyond a block: a dense group, and members that are like few others; no link is lost."""
+    import textloom.llm.simhash as sh
+
+    rng = random.Random(21)
+    base = words(rng, 120)
+    texts = []
+    for _ in range(150):
+        t = list(base)
+        for _ in range(rng.randrange(1, 12)):
+            t[rng.randrange(len(t))] = words(rng, 1)[0]
+        texts.append(t)
+    texts += [base + words(rng, rng.randrange(10, 90)) for _ in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = {i: shingle_set(t, 5).tobytes() for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in combinations(sets, 2):
+        if similarity(sets[a], sets[b]) >= 0.8:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    want = {find(i) for i in sets}
+    real, seen = sh._verified, []
+    for block, rounds in ((16, 0), (16, 6), (1024, 6)):
+        monkeypatch.setattr(sh, "HUB_ROUNDS", rounds)
+        monkeypatch.setattr(sh, "_verified", lambda shared, sketches, least, block=block: real(shared, sketches, least, block))
+        seen.append(left(spark, rows))
+    assert seen == [want] * 3
+
+
+def test_hubs_of_components_do_not_change_them(spark, monkeypatch):
+    from textloom.llm import components as co
+
+    rng = random.Random(3)
+    pairs = [(0, i) for i in range(1, 400)] + [(rng.randrange(400, 900), rng.randrange(400, 900)) for _ in range(300)] + [(5, 950), (950, 951)]
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    want = {tuple(r) for r in co.components(edges)[0].collect()}
+    monkeypatch.setattr(co, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(co, "HUBS", 20)
+    assert {tuple(r) for r in co.components(edges)[0].collect()} == want
+    assert {u for u, v in want if v == 0} == {*range(1, 400), 950, 951}

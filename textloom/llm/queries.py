@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import table
+from textloom.llm import common
 from textloom.llm.html_text import extract_html
 from textloom.llm.language_id import held_out, identify, learn
 from textloom.llm.lattice_dedup import lattice_dedup
@@ -21,6 +21,11 @@ from textloom.llm.simhash import simhash_groups
 from textloom.llm.suffix_dedup import suffix_dedup
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.small_batches(spark)
+    return common.table(spark, sf_dir, name)
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), length=50)
 

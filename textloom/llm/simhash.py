@@ -13,7 +13,7 @@ for more bits all pairs under a value are verified.  Copies share a fingerprint
 ``near_copies`` is for a similarity of shingle sets, which fingerprints of 64 bits can't tell: at Jaccard similarity 0.8 they lie 9 bits
 apart on average, far beyond a ball that could be hashed.  Texts meet by MinHash there: BANDS bands of ROWS least values of their distinct
 ``words``-word shingles.  A pair at similarity s misses all bands with probability (1 - s^ROWS)^BANDS: 0.000005 at 0.8, less above.  All that meet are
-verified by the exact similarity, unless they are in one component already.  Texts with equal sets are one node throughout.
+verified by the exact similarity, in tasks that hold the sets of a bucket, unless they are in one component already.  Texts with equal sets are one node throughout.
 
 Defined results: null texts count as empty; documents without words link with each other; rows that repeat a doc_id give
 a row each; a null doc_id is never a component's id unless all ids of the component are null; an empty
@@ -22,8 +22,8 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import combinations
+from collections.abc import Iterator
+from itertools import chain, combinations
 from random import Random
 
 import numpy as np
@@ -33,12 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm.common import small_batches, written
+from textloom.llm.common import drop, written
 from textloom.llm.components import components
 
 SEED, BLOCK = 42, 1 << 16
 BANDS, ROWS = 40, 6
-HUB_ROUNDS, PAIRS_A_ROW = 6, 2
+BUCKET, COLUMNS, HUB_ROUNDS, MIN_HUB_LINKS = 256, 4096, 6, 64
 _rng = Random(SEED)
 FACTORS = np.array([[_rng.getrandbits(32) | 1] for _ in range(BANDS * ROWS)], np.uint32)
 TERMS = np.array([[_rng.getrandbits(32)] for _ in range(BANDS * ROWS)], np.uint32)
@@ -71,7 +71,7 @@ def with_fingerprint(docs: DataFrame, words: int, text_col: str = "text", name:
         for part in texts:
             yield pd.Series(np.array([simhash(t, words) for t in part], np.uint64).view(np.int64))
 
-    return small_batches(docs).withColumn(name, fingerprints(F.col(text_col)))
+    return docs.withColumn(name, fingerprints(F.col(text_col)))
 
 
 def ball(radius: int) -> list[int]:
@@ -135,40 +135,136 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def _shared(values: DataFrame) -> DataFrame:
-    """The rows (key, value) whose value has at least two keys."""
-    ends = values.groupBy("value").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("value")
-    return values.join(ends, "value").select("key", "value")
-
-
-def _verified(shared: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(u, v) of components, as ``components`` gives them, that join all pairs of keys under a common value that are ``alike``.
-
-    Members of a bucket that already are in one component need no comparison.  So while the pairs left would be too many for that,
-    one member of each bucket is compared with those of other components, which settles dense groups in linear work; then all pairs left are compared.
+    """(key, value, n) of the values with n > 1 keys.  Of values with the same keys one is kept: near copies have most bands in common."""
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "key")).alias(f"x{k}") for k in (1, 2)]
+    buckets = values.groupBy("value").agg(F.count("*").alias("n"), *marks).where("n > 1")
+    return values.join(buckets.groupBy("n", "x1", "x2").agg(F.min("value").alias("value")).select("value", "n"), "value").select("key", "value", "n")
+
+
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two of the sets have in common."""
+    m = len(sets)
+    out = np.zeros((m, m), np.int64)
+    if m <= 8:
+        for i, j in combinations(range(m), 2):
+            out[i, j] = out[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        return out
+    every = np.concatenate(sets)
+    of = np.repeat(np.arange(m), [len(x) for x in sets])
+    order = np.argsort(every, kind="stable")
+    every, of = every[order], of[order]
+    at = np.concatenate([[True], every[1:] != every[:-1]])
+    column = np.cumsum(at) - 1
+    twice = np.bincount(column)[column] > 1  # a hash of one set alone meets nothing
+    of, column = of[twice], np.cumsum(at[twice]) - 1
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        holds = np.zeros((m, COLUMNS), np.float32)
+        holds[of[a:b], column[a:b] - first] = 1
+        out += np.rint(holds @ holds.T).astype(np.int64)
+    return out
+
+
+def _forest(part: pd.DataFrame, least_similarity: float) -> list[tuple[bytes, bytes]]:
+    """Links that join all rows of a task that are alike: for each row the least row it can reach."""
+    sets = [np.frombuffer(x, "<u4") for x in part["s"]]
+    sizes, kind, block = np.array([len(x) for x in sets]), int(part["kind"].iloc[0]), part["block"].to_numpy()
+    both = common(sets)
+    alike = both / np.maximum(sizes[:, None] + sizes[None, :] - both, 1) >= least_similarity
+    if kind == 1:  # pairs of one side have tasks of their own
+        side = part["main"].to_numpy()
+        alike &= side[:, None] != side[None, :]
+    elif kind == 0 and block.min() != block.max():
+        alike &= block[:, None] != block[None, :]
+    i, j = np.nonzero(np.triu(alike, 1))
+    root = np.arange(len(sets))
+    while len(i):
+        before = root.copy()
+        low = np.minimum(root[i], root[j])
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+        root = root[root]
+        if (root == before).all():
+            break
+    keys = list(part["key"])
+    return [(keys[k], keys[r]) for k, r in enumerate(root.tolist()) if k != r]
+
+
+def _compared(dealt: DataFrame, least_similarity: float) -> DataFrame:
+    """(u, v) links of each task's rows; a task's rows stand together, and memory holds one task and one batch."""
+    marks = ["value", "i", "j", "kind"]
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for frame in chain(frames, [None]):
+            if frame is not None:
+                rest = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            if rest is None or not len(rest):
+                continue
+            mark = rest[marks].to_numpy(np.int64)
+            at = [0, *(np.flatnonzero((mark[1:] != mark[:-1]).any(1)) + 1).tolist(), len(rest)]
+            done = len(at) - 1 if frame is None else len(at) - 2
+            found = [x for a, b in zip(at[:done], at[1:]) for x in (_forest(rest.iloc[a:b], least_similarity) if b - a > 1 else [])]
+            rest = rest.iloc[at[done] :].reset_index(drop=True)
+            yield pd.DataFrame({"u": np.array([*(x[0] for x in found), b""], object)[:-1], "v": np.array([*(x[1] for x in found), b""], object)[:-1]})
+
+    return dealt.mapInPandas(compare, "u binary, v binary")
+
+
+def _verified(shared: DataFrame, sketches: DataFrame, least_similarity: float, block: int = BUCKET) -> DataFrame:
+    """(u, v) of components, as ``components`` gives them, that join all pairs of keys under a common value whose sets are alike.
+
+    A bucket of at most ``block`` keys is compared in one task.  In larger ones one key after another is compared with all others, a linear
+    step that settles dense groups.  What a bucket's largest component then holds need not be compared with itself: the rest meets
+    the rest and that component, in pairs of blocks that are tasks of their own.  No pair leaves a task, only links that keep its rows joined.
     """
-    shared, _ = written(shared.distinct(), "shared", narrow=True)
-    rows = shared.count()
-    roots = None
-    for n in range(HUB_ROUNDS + 1):
-        rooted = shared.withColumn("root", F.col("key"))
-        if roots is not None:
-            rooted = shared.join(roots.withColumnRenamed("u", "key"), "key", "left").select("key", "value", F.coalesce("v", "key").alias("root"))
-        parts = rooted.groupBy("value", "root").agg(F.count("*").alias("n"))
-        buckets = parts.groupBy("value").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("open")).where("open > 0")
-        left, _ = written(rooted.join(buckets, "value").select("key", "value", "root"), "open", narrow=True)
-        total = buckets.agg(F.coalesce(F.sum("open"), F.lit(0.0)).alias("n")).first().n
-        last = total <= PAIRS_A_ROW * rows or n == HUB_ROUNDS
-        if last:
-            pairs = left.alias("a").join(left.alias("b"), F.expr("a.value = b.value AND a.key < b.key AND a.root != b.root")).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
-        else:
-            order = F.xxhash64(F.lit(n), "key")
-            at = left.groupBy("value").agg(F.min(order).alias("at"))
-            hubs = left.join(at, "value").where(order == F.col("at")).select("value", F.col("key").alias("b"), F.col("root").alias("of"))
-            pairs = left.join(hubs, "value").where("key != b AND root != of").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
-        links = alike(pairs.distinct()).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        roots, _ = components(links if roots is None else links.unionByName(roots))
-        if last:
-            return roots
+    spark = shared.sparkSession
+    large, roots = shared.where(F.col("n") > block).select("key", "value"), None
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        if roots is None:
+            return rows.withColumn("root", F.col("key"))
+        return rows.join(roots.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity(x, y) >= least_similarity for x, y in zip(a, b)], dtype="bool")
+
+    some = large.limit(1).count() > 0
+    for n in range(HUB_ROUNDS if some else 0):
+        rows = rooted(large)
+        open_ = rows.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("value")
+        order = F.xxhash64(F.lit(n), "key")
+        hubs = rows.join(open_, "value").groupBy("value").agg(F.min_by(F.struct("key", "root"), order).alias("hub"))
+        hubs = hubs.select("value", F.col("hub.key").alias("b"), F.col("hub.root").alias("of")).join(sketches.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
+        pairs = rows.join(hubs, "value").where("root != of").select("key", "b", "sb").join(sketches, "key")
+        links, path = written(pairs.where(alike("s", "sb")).select(F.col("key").alias("u"), F.col("b").alias("v")).distinct(), "links", narrow=True)
+        new = links.count()
+        if new:
+            roots, _ = components(links if roots is None else links.unionByName(roots))
+        drop(spark, path)
+        if new < MIN_HUB_LINKS:
+            break
+    none = F.lit(0)
+    dealt = shared.where(F.col("n") <= block).select("key", "value", none.alias("i"), none.alias("j"), F.lit(2).alias("kind"), none.alias("block"), F.lit(False).alias("main"))
+    if some:
+        rows = rooted(large)
+        parts = rows.groupBy("value", "root").agg(F.count("*").alias("n"))
+        sides = parts.groupBy("value").agg(F.max_by("root", "n").alias("most"), F.max("n").alias("n_main"), F.sum("n").alias("n")).where("n > n_main")
+        sides = sides.select("value", "most", F.ceil((F.col("n") - F.col("n_main")) / block).cast("int").alias("so"), F.ceil(F.col("n_main") / block).cast("int").alias("sp"))
+        cut = rows.join(sides, "value").withColumn("main", F.col("root") == F.col("most"))
+        cut = cut.withColumn("block", F.expr("pmod(xxhash64(key), if(main, sp, so))").cast("int"))
+        tasks = F.expr("""
+            CASE WHEN main THEN transform(sequence(0, so - 1), x -> named_struct('i', x, 'j', block, 'kind', 1))
+                 ELSE concat(transform(sequence(0, so - 1), x -> named_struct('i', least(x, block), 'j', greatest(x, block), 'kind', 0)),
+                             transform(sequence(0, sp - 1), x -> named_struct('i', block, 'j', x, 'kind', 1))) END""")
+        cut = cut.select("key", "value", "block", "main", F.explode(tasks).alias("t")).select("key", "value", "t.i", "t.j", "t.kind", "block", "main")
+        dealt = dealt.unionByName(cut)
+    dealt = dealt.join(sketches, "key").repartition("value", "i", "j", "kind").sortWithinPartitions("value", "i", "j", "kind", "key")
+    links, path = written(_compared(dealt, least_similarity), "links", narrow=True)
+    roots, _ = components(links if roots is None else links.unionByName(roots))
+    drop(spark, path)
+    return roots
 
 
 def near_copies(docs: DataFrame, words: int = 5, least_similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,19 +274,21 @@ def near_copies(docs: DataFrame, words: int = 5, least_similarity: float = 0.8,
     Rows without an id stay only where their group has no id at all.
     """
 
-    @F.pandas_udf("struct<own: string, bands: array<long>>")
+    spark = docs.sparkSession
+
+    @F.pandas_udf("struct<own: binary, bands: array<long>>")
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
             found = [shingle_set(x, words) for x in part]
-            own = [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in found]
+            own = [xxhash.xxh3_128_digest(x.tobytes()) for x in found]
             yield pd.DataFrame({"own": own, "bands": [min_hashes(x) for x in found]})
 
-    rows = small_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", _text_key("text").alias("text_key"), sketch("text").alias("x"))
-    rows, _ = written(rows.select("doc_id", "text_key", F.col("x.own").alias("key"), F.col("x.bands").alias("bands")), "sketches")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", _text_key("text").alias("text_key"), sketch("text").alias("x"))
+    rows, rows_path = written(rows.select("doc_id", "text_key", F.col("x.own").alias("key"), F.col("x.bands").alias("bands")), "sketches")
     texts = rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("least"), F.col("text_key").alias("text_key"))).alias("best"), F.first("bands").alias("bands"))
     texts, _ = written(texts, "texts", narrow=True)
-    values = texts.select("key", F.explode("bands").alias("value"))
-    shared, _ = written(_shared(values), "values", narrow=True)
+    drop(spark, rows_path)
+    shared, shared_path = written(_shared(texts.select("key", F.explode("bands").alias("value"))), "values", narrow=True)
     involved = shared.select("key").distinct().join(texts.select("key", "best"), "key").select(F.col("key").alias("k"), "best.least", "best.text_key")
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,18 +297,11 @@ def near_copies(docs: DataFrame, words: int = 5, least_similarity: float = 0.8,
             yield pd.DataFrame({"key": frame["k"], "s": np.array([*packed, b""], object)[:-1]})
 
     bodies = docs.select(F.col(id_col).alias("doc_id"), _text_key(text_col).alias("own_key"), F.col(text_col).alias("text"))
-    bodies = bodies.join(involved, F.expr("own_key = text_key AND doc_id <=> least")).select("k", "text")
-    sketches, _ = written(bodies.mapInPandas(sets, "key string, s binary").dropDuplicates(["key"]), "sets", narrow=True)
-
-    @F.pandas_udf("double")
-    def compare(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sketches.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sketches.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
-        return both.where(compare("sa", "sb") >= least_similarity).select("a", "b")
-
-    roots = _verified(shared, alike)
+    bodies = bodies.join(involved, F.expr("own_key = text_key AND doc_id <=> least")).dropDuplicates(["k"]).select("k", "text")
+    sketches, sets_path = written(bodies.mapInPandas(sets, "key binary, s binary"), "sets", narrow=True)
+    roots = _verified(shared, sketches, least_similarity)
+    drop(spark, shared_path)
+    drop(spark, sets_path)
     rooted = texts.select("key", "best").join(roots.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left").select("best", F.coalesce("root", "key").alias("root"))
     best = rooted.groupBy("root").agg(F.min("best").alias("best"))
     stay = best.select(F.col("best.text_key").alias("__near_key"), F.col("best.least").alias("__near_id"))
