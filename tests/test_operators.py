@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import columns as tc
@@ -210,3 +211,51 @@ def test_import_stream(spark, tmp_path):
 def test_event_windows(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     assert imports.event_windows(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbers_without_gaps_on_many_wide_rows(spark, tmp_path, adaptive):
+    """Written out: counts and places come from one sorted table, so no row is lost and no number repeats."""
+    from textloom.operators.kit import numbered
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        n = 200_000
+        rows = spark.range(0, n, 1, 23).select((F.col("id") * 7919 % n).alias("k"), (F.col("id") % 3).alias("g"), F.repeat(F.lit("wide "), 30).alias("text"), F.col("id").cast("string").alias("s"))
+        numbered(rows, ("g", "k")).write.parquet(str(tmp_path / "out"))
+        out = spark.read.parquet(str(tmp_path / "out"))
+        got = out.agg(F.count("*").alias("n"), F.countDistinct("row_index").alias("d"), F.min("row_index").alias("low"), F.max("row_index").alias("high")).first()
+        assert tuple(got) == (n, n, 0, n - 1)
+        steps = out.select("row_index", F.struct("g", "k").alias("x")).sort("row_index").toPandas()["x"].tolist()
+        assert steps == sorted(steps)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_line_offsets_of_long_and_odd_texts(spark):
+    from textloom.plans.base import lines
+
+    texts = [None, "", "\n", "a", "é\n\n😀b\n", "\n".join("x" * (i % 7) for i in range(1000))]
+    got = {(r.doc_id, r.i): (r.line, r.start_offset) for r in lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want, n = {}, 0
+    for d, t in enumerate(texts):
+        at = 0
+        for i, line in enumerate((t or "").split("\n")):
+            want[d, i] = (line, at)
+            at += len(line) + 1
+    assert got == want
+
+
+def test_bag_deltas_and_equal_signatures(spark):
+    from textloom.operators import tokens as tk
+
+    bags = spark.createDataFrame([(1, ["x", "y", "x"], ["y", "z"]), (2, [], []), (3, None, ["q"])], "k long, a array<string>, b array<string>")
+    assert sorted(tuple(r) for r in tk.bag_deltas(bags, "k").collect()) == [(1, "x", -2), (1, "z", 1), (3, "q", 1)]
+    rows = [("m", "i", "p", "a", "b", "o", ["r", "s"], []), ("n", "i", "p", "a", "b", "o", ["s", "r"], []), ("o", "i", "p", "a", "c", "o", ["s", "r"], [])]
+    signs = spark.createDataFrame(rows, "name string, id string, persistence string, argument string, branch string, output string, reads array<string>, writes array<string>")
+    pairs = spark.createDataFrame([("m", "n"), ("m", "o"), ("m", "z"), ("z", "z"), (None, "m")], "a string, b string")
+    for most in (0, 10):
+        assert {(r.a, r.b): r.same for r in tk.equivalent(signs, pairs, most).collect()} == {("m", "n"): True, ("m", "o"): False, ("m", "z"): False, ("z", "z"): False, (None, "m"): False}

@@ -61,7 +61,7 @@ def placeholders(c: Column) -> Column:
 
 
 def bag_delta(a: Column, b: Column) -> Column:
-    """(key, n) of each key whose count differs, n being how many more b has."""
+    """(key, n) of each key whose count differs, n being how many more b has.  For short bags as placeholders are: each key is counted by itself."""
     keys = F.array_distinct(F.concat(a, b))
     counted = F.transform(keys, lambda k: F.struct(k.alias("key"), (F.size(F.filter(b, lambda x: x == k)) - F.size(F.filter(a, lambda x: x == k))).alias("n")))
     return F.filter(counted, lambda x: x["n"] != 0)
@@ -150,12 +150,6 @@ def pseudo(c: Column) -> Column:
     return F.regexp_replace(c, "[A-Za-z]+", "$0x")
 
 
-def leak_codes(c: Column) -> Column:
-    """What a shown text must not hold: unrendered macros, placeholders, links, references or templates."""
-    rules = (("raw-macro", "<<|>>"), ("placeholder", mk.OPEN + "|" + mk.SHUT), ("raw-link", r"\[\[|\]\]"), ("entity", ENTITY), ("template", r"\$\{"))
-    return F.filter(F.array(*[F.when(c.rlike(p), n) for n, p in rules]), lambda x: x.isNotNull())
-
-
 def arrow(kind: str) -> Callable:
     """A pandas UDF that is made at its first call, as its type can be read only once there is a session."""
 

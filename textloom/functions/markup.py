@@ -390,7 +390,7 @@ def joins_up(text: str, tokens: list[Token]) -> bool:
     return all(t.start == e and text[t.start : t.end] == t.text for t, e in zip(tokens, ends)) and ends[-1] == len(text)
 
 
-# Strings that the code looks up.
+# Strings that the code looks up.  Fixed values: the forms in which keys stand.
 _Q = r"(\"[^\"\n]*\"|'[^'\n]*')"
 _KEY_VALUE = re.compile(rf"(?<![A-Za-z0-9_$])[\"']?([A-Za-z_][A-Za-z0-9_]*)[\"']?\s*:\s*(\"[^\"\n]*\"|'[^'\n]*'|\[[^\]\n]*\])")
 _LOOKUPS = [

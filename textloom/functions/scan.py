@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 from textloom.functions import markup as mk
 
+# What counts as left-over markup, as code, and as the name of something shown.
 RESIDUE = re.compile(r"<<|>>|\[\[|\]\]|<[A-Za-z/]|(?<![\w$])[$_][A-Za-z_]")
 CODE_SIGNS = re.compile(r"[=\[\]{}<>+]")
 CODE_START = re.compile(r"\s*[$_.#\"']")

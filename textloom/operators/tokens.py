@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import markup as mk
-from textloom.functions import structure as st
 
 TOKEN = "ord int, kind string, start int, end int, name string, closing boolean"
 
@@ -90,44 +89,25 @@ def analyze_pairs(pairs: DataFrame, samples: int = 25) -> tuple[DataFrame, DataF
     return totals, codes, each.withColumn("nth", nth).where(F.col("nth") <= samples)
 
 
-def effect_signatures(spark, helper_prefix: str | None = None) -> DataFrame:
-    """Dimension of macros that read or write context (name, id, reads, writes, persistence, argument, output), and their helpers."""
-    rows = [(n, *s) for n, s in st_signatures().items()]
-    if helper_prefix:
-        rows += [(helper_prefix + n, *s) for n, s in st_signatures().items()]
-    return spark.createDataFrame(rows, "name string, id string, reads array<string>, writes array<string>, persistence string, argument string, output string")
-
-
-def st_signatures() -> dict[str, tuple]:
-    """What each context macro reads and writes, how long that holds, its argument and what it prints."""
-    reads = ["$NPCList", "$npcrow", "$npcnum", "$NPCName"]
-    writes = ["$index", "$npcadult", "$pronoun", "$description", "$role", "$npc_named"]
-    intro = "$NPCList[_n].intro"
-    deep = [*reads, "$enemytype", "$enemyno", "$npc", intro, "$NPCList[_n].name_known"]
-    noun = ["$index", "$description", "$NPCList[$index].type", "$npc_named", "$role", "$pronoun", "$npcadult"]
-    out = {"personselect": ("personselect", reads, writes, "passage", "index-or-tentacles", "none")}
-    out |= {f"person{n}": ("personselect-fixed", reads, writes, "passage", "fixed-index", "none") for n in (1, 2, 3)}
-    out |= {
-        "someone": ("someone", reads, ["$_target", *writes], "passage", "optional-index", "pronoun-object"),
-        "someones": ("someones", deep, ["$_target", *writes, intro], "passage-and-character", "optional-index-or-two", "possessive"),
-        "their": ("their", deep, ["$_target", *writes, intro], "passage-and-character", "optional-index", "possessive"),
-        "hisselect": ("hisselect", deep, [*writes, intro], "passage-and-character", "index", "possessive"),
-        "bhis": ("bhis", ["$NPCList", "$beastGroupFight", "$combat", "$enemyno", "_n"], [], "none", "optional-index", "possessive"),
-        "person": ("person", noun, ["$index"], "passage-if-tentacles", "optional-normal", "noun-phrase"),
-        "persons": ("persons", noun, ["$index"], "passage-if-tentacles", "optional-normal", "possessive"),
-        "personsimple": ("personsimple", noun, [], "none", "optional-normal", "noun-phrase"),
-    }
-    assert st.CONTEXT_MACROS == {n for n, s in out.items() if s[2]}
-    return out
-
-
-def equivalent(signatures: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (a, b) with ``same``: both known, all fields alike, and the same sets read and written."""
-    left, right = (signatures.select(*[F.col(c).alias(f"{s}_{c}") for c in signatures.columns]) for s in ("x", "y"))
-    both = pairs.join(F.broadcast(left), F.col("a") == F.col("x_name"), "left").join(F.broadcast(right), F.col("b") == F.col("y_name"), "left")  # 24 rows at most
-    alike = F.lit(True)
-    for c in ("id", "persistence", "argument", "output"):
-        alike &= F.col(f"x_{c}") == F.col(f"y_{c}")
-    for c in ("reads", "writes"):
-        alike &= F.array_sort(f"x_{c}") == F.array_sort(f"y_{c}")
-    return both.select("a", "b", F.coalesce(alike, F.lit(False)).alias("same"))
+FIELDS, SETS = ("id", "persistence", "argument", "branch", "output"), ("reads", "writes")
+
+
+def equivalent(signatures: DataFrame, pairs: DataFrame, max_broadcast: int = 10_000) -> DataFrame:
+    """``pairs`` (a, b and more) with ``same``: both names known, every field alike, and the same sets read and written.
+
+    signatures: name, FIELDS as strings, SETS as lists of strings; which macros there are and what they do is the caller's knowledge.  A name's
+    signature is one digest of all that, so only digests meet the pairs: by broadcast if a count bounds them, else by a shuffle.
+    """
+    whole = F.sha2(F.to_json(F.struct(*FIELDS, *[F.array_sort(c).alias(c) for c in SETS]), {"ignoreNullFields": "false"}), 256)
+    digests = signatures.groupBy("name").agg(F.min(whole).alias("sign"))
+    if digests.limit(max_broadcast + 1).count() <= max_broadcast:
+        digests = F.broadcast(digests)
+    both = pairs.join(digests.select(F.col("name").alias("a"), F.col("sign").alias("x")), "a", "left").join(digests.select(F.col("name").alias("b"), F.col("sign").alias("y")), "b", "left")
+    return both.select(*pairs.columns, F.coalesce(F.col("x") == F.col("y"), F.lit(False)).alias("same"))
+
+
+def bag_deltas(bags: DataFrame, key: str) -> DataFrame:
+    """(key, word, n) of each word whose count differs between the bags a and b of a row, n being how many more b has; counts are summed in part
+    before the shuffle, so long bags cost no more than their words."""
+    words = bags.select(key, F.explode("a").alias("word"), F.lit(-1).alias("n")).unionByName(bags.select(key, F.explode("b").alias("word"), F.lit(1).alias("n")))
+    return words.groupBy(key, "word").agg(F.sum("n").alias("n")).where("n != 0")

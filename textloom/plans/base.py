@@ -6,7 +6,7 @@ stale, those that are toxic repeat their source.  Benchmark items are records of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import columns as tc
@@ -17,16 +17,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan of fewer partitions than there are cores, dealt out evenly before Python works on it; others stay as they are."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    """A scan dealt out evenly before Python works on it: few large files would keep most cores idle."""
+    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism) if len(scan.inputFiles()) < scan.sparkSession.sparkContext.defaultParallelism else scan
+
+
+STEP = 64
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, i, line, start_offset) of every line, offsets in code points."""
-    rows = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
-    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("start_offset", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("long"))
+    """(doc_id, i, line, start_offset) of every line, offsets in code points, without a shuffle: a line's start is the sum of the sizes before it
+    in its own row, by steps of lines, so that long texts don't cost a square."""
+    zero = F.lit(0).cast("long")
+
+    def total(sizes: Column) -> Column:
+        return F.aggregate(sizes, zero, lambda a, x: a + x)
+
+    rows = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    rows = rows.withColumn("sizes", F.transform("lines", lambda x: F.length(x).cast("long") + 1))
+    rows = rows.withColumn("steps", F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / STEP).cast("int")), lambda k: total(F.slice("sizes", k * STEP + 1, F.lit(STEP)))))
+    rows = rows.withColumn("before", F.transform("steps", lambda x, k: total(F.slice("steps", F.lit(1), k))))
+    start = F.transform("lines", lambda x, i: F.struct(x.alias("line"), (F.get("before", F.floor(i / STEP).cast("int")) + total(F.slice("sizes", (F.floor(i / STEP) * STEP + 1).cast("int"), i % STEP))).alias("start_offset")))
+    return rows.select("doc_id", F.posexplode(start).alias("i", "x")).select("doc_id", "i", "x.line", "x.start_offset")
 
 
 def units(docs: DataFrame) -> DataFrame:

@@ -476,7 +476,7 @@ def pseudo_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     a, b = (c.where(F.col("turn") == k).select("conv_id", F.split("text", " ").alias(n)) for k, n in ((0, "a"), (1, "b")))
-    return a.join(b, "conv_id").select("conv_id", F.explode(tc.bag_delta(F.col("a"), F.col("b"))).alias("d")).select("conv_id", "d.key", "d.n")
+    return tk.bag_deltas(a.join(b, "conv_id"), "conv_id").withColumnRenamed("word", "key")
 
 
 @query("SELECT role AS tag, 'conv' || conv_id AS name, max(turn) AS last FROM conversations GROUP BY ALL")
@@ -674,10 +674,17 @@ def macro_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tk.macro_rows(items, "item_id", "content").select("item_id", "name", "closing", "body")
 
 
-@query("SELECT a, b, a = b OR (a LIKE 'person_' AND b LIKE 'person_') AS same FROM (SELECT unnest(['person1', 'person2', 'their', 'bhis', 'none']) AS a), (SELECT unnest(['person2', 'their', 'bhis']) AS b)")
+@query("""WITH g AS (SELECT p_brand AS name, length(min(p_type)) % 2 AS output, min(p_size) % 2 AS n FROM part GROUP BY p_brand), p AS (SELECT p.p_partkey, p.p_brand AS a, q.p_brand AS b FROM part p LEFT JOIN part q ON q.p_partkey = p.p_partkey + 1)
+          SELECT p_partkey, a, b, coalesce(x.output = y.output AND x.n = y.n, FALSE) AS same FROM p LEFT JOIN g x ON x.name = a LEFT JOIN g y ON y.name = b""")
 def equivalent_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.createDataFrame([(a, b) for a in ("person1", "person2", "their", "bhis", "none") for b in ("person2", "their", "bhis")], "a string, b string")
-    return tk.equivalent(tk.effect_signatures(spark), pairs)
+    """Brands as macros: their types say what they print and their sizes what they read, listed in an order of their own; each part's brand meets the next part's."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    rows = part.groupBy(F.col("p_brand").alias("name")).agg((F.length(F.min("p_type")) % 2).cast("string").alias("output"), (F.min("p_size") % 2).alias("n"))
+    reads = F.transform(F.sequence(F.lit(0), F.col("n")), lambda k: F.concat(F.lit("$v"), k.cast("string")))
+    signs = rows.select("name", *[F.lit(x).alias(x) for x in ("id", "persistence", "argument", "branch")], "output", F.when(F.hash("name") % 2 == 0, F.reverse(reads)).otherwise(reads).alias("reads"), F.array(F.lit("$x")).alias("writes"))
+    following = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_brand").alias("b"))
+    pairs = part.select("p_partkey", F.col("p_brand").alias("a")).join(following, "p_partkey", "left")
+    return tk.equivalent(signs, pairs)
 
 
 @query(f"WITH {STATES} SELECT 'translated-valid' AS kind, count(*)::BIGINT AS n FROM states WHERE state = 'translated-valid'")
