@@ -11,4 +11,4 @@ def test_query_matches_its_sql(spark, sf_dir, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_other_queries_run(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() >= (name != "page_issues")  # the given pages have no issues
+    assert QUERIES[name](spark, sf_dir).count() > 0

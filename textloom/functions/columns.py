@@ -238,3 +238,9 @@ def variables(text: pd.Series) -> pd.Series:
 @arrow("array<string>")
 def template_holes(text: pd.Series) -> pd.Series:
     return pd.Series([st.holes(x if isinstance(x, str) else "") for x in text], dtype=object)
+
+
+@arrow("array<string>")
+def tags(text: pd.Series) -> pd.Series:
+    """Tags outside macros, as open, close or self and the name."""
+    return pd.Series([st.tags(x) if isinstance(x, str) else [] for x in text], dtype=object)

@@ -13,6 +13,7 @@ ROW = (
     "passage string, what string, unit_id string, reason string, detail string, from_text string, to_text string, all_sites boolean, raw_from string, anchored boolean, "
     "left_growth int, right_growth int, span_start int, span_end int, patch_start int, patch_end int, covers array<struct<start: int, end: int>>, covers_units array<string>, is_cluster boolean"
 )
+BUCKET_UNITS = 20_000
 _NAMES = [x.strip().split(" ")[0] for x in ROW.replace("array<struct<start: int, end: int>>", "a").split(",")]
 
 
@@ -52,12 +53,39 @@ def build_plan(units: DataFrame, passages: DataFrame, growth: int = pt.GROWTH, c
             out += [{"passage": p, "what": "failure", "unit_id": u, "reason": c} for c, u in pt.failures(content[p], made.entries)]
         return pd.DataFrame({n: pd.Series([r.get(n) for r in out], dtype=object) for n in _NAMES})
 
-    n = 8 * int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = units.agg(F.count("*").alias("n")).first().n  # one number: buckets follow the units, so a call's frame stays small
+    n = max(8 * int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_UNITS))
     bucket = F.pmod(F.xxhash64("passage"), F.lit(n)).alias("bucket")
     rows, texts = rows.select("*", bucket), texts.select("*", bucket)
     return rows.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInPandas(plan, ROW)
 
 
+def replayed(plan: DataFrame, passages: DataFrame) -> DataFrame:
+    """(passage, text) after a plan's entries, made one after another as their consumer does: the first occurrence, or all."""
+    entries = plan.where("what = 'entry'").groupBy("passage").agg(F.array_sort(F.collect_list(F.struct("patch_start", "patch_end", "from_text", "to_text", "all_sites"))).alias("entries"))
+    both = passages.select(F.col("name").alias("passage"), "content").join(entries, "passage", "left")
+    made = F.aggregate("entries", F.col("content"), lambda text, e: F.when(e["all_sites"], F.replace(text, e["from_text"], e["to_text"])).otherwise(tc.replace_first(text, e["from_text"], e["to_text"])))
+    return both.select("passage", F.when(F.col("entries").isNull(), F.col("content")).otherwise(made).alias("text"))
+
+
+def entry_failures(entries: DataFrame, passages: DataFrame) -> DataFrame:
+    """(passage, code, unit_id) of what is wrong with entries (passage, unit_id, from_text, to_text, all_sites, raw_from, span_start, span_end, covers)
+    as a passage's list of patches; codes of a whole passage have a blank unit."""
+    texts = passages.groupBy(F.col("name").alias("passage")).agg(F.first("content").alias("content"), F.lit(True).alias("known"))
+    lists = entries.groupBy("passage").agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end", "unit_id", "from_text", "to_text", "all_sites", "raw_from", "covers"))).alias("list"))
+
+    @F.pandas_udf("array<struct<code: string, unit_id: string>>")
+    def check(content: pd.Series, lists: pd.Series) -> pd.Series:
+        out = []
+        for text, rows in zip(content, lists):
+            made = [pt.Entry(r["unit_id"], r["from_text"], r["to_text"], (r["span_start"], r["span_end"]), (r["span_start"], r["span_end"]), [(c["start"], c["end"]) for c in r["covers"]], [r["unit_id"]], [], r["raw_from"], bool(r["all_sites"])) for r in rows]
+            out.append([{"code": c, "unit_id": u} for c, u in pt.failures(text if isinstance(text, str) else None, made)])
+        return pd.Series(out, dtype=object)
+
+    both = lists.join(texts, "passage", "left").withColumn("content", F.when(F.col("known"), F.coalesce("content", F.lit(""))))
+    return both.select("passage", F.explode(check("content", "list")).alias("f")).select("passage", "f.code", "f.unit_id")
+
+
 def plan_stats(plan: DataFrame) -> DataFrame:
     """(name, n): the planner's counters summed over passages."""
     return plan.where("what = 'stat'").groupBy(F.col("reason").alias("name")).agg(F.sum(F.col("detail").cast("long")).alias("n"))

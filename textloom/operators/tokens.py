@@ -31,6 +31,18 @@ def token_rows(passages: DataFrame, key: str, text: str, with_text: bool = False
     return passages.select(key, F.col(text).alias("__text")).mapInPandas(scan, f"{key} {kind}, {TOKEN}" + ", text string" * with_text)
 
 
+def depth_rows(passages: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, ord, kind, depth) of each token: how many conditionals, loops and switches are open before it."""
+    kind = dict(passages.dtypes)[key]
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(k, n, x.kind, d) for k, t in zip(frame[key], frame["__text"]) for found in [mk.tokenize(t if isinstance(t, str) else "")] for n, (x, d) in enumerate(zip(found, mk.depths(found)))]
+            yield pd.DataFrame(rows, columns=[key, "ord", "kind", "depth"])
+
+    return passages.select(key, F.col(text).alias("__text")).mapInPandas(scan, f"{key} {kind}, ord int, kind string, depth int")
+
+
 def covered(tokens: DataFrame, passages: DataFrame, key: str, text: str) -> DataFrame:
     """(key, reversible): tokens follow each other without gaps from 0 to the text's end."""
     gap = F.col("start") != F.coalesce(F.lag("end").over(Window.partitionBy(key).orderBy("ord")), F.lit(0))

@@ -77,17 +77,6 @@ def inventory_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.histograms(rows)
 
 
-@query(f"""WITH {LINES}, found AS (SELECT CASE WHEN regexp_matches(line, '[0-9]{{4,}}') THEN 'long-number' ELSE 'no-word' END AS code, doc_id, i, line FROM lines
-           WHERE regexp_matches(line, '[0-9]{{4,}}') OR NOT regexp_matches(line, '[A-Za-z]{{2,}}'))
-           SELECT code, count(*) AS n, arg_min(doc_id, struct_pack(d := doc_id, i := i)) AS first_doc, arg_min(line, struct_pack(d := doc_id, i := i)) AS detail FROM found GROUP BY code""")
-def issue_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(table(spark, sf_dir, "documents"))
-    long_number, no_word = F.col("line").rlike("[0-9]{4,}"), ~tc.has_word(F.col("line"))
-    found = rows.where(long_number | no_word).withColumn("code", F.when(long_number, "long-number").otherwise("no-word"))
-    at = F.struct("doc_id", "i")
-    return found.groupBy("code").agg(F.count("*").alias("n"), F.min_by("doc_id", at).alias("first_doc"), F.min_by("line", at).alias("detail"))
-
-
 @query("SELECT source, CASE WHEN regexp_matches(source, '(?i)widget') THEN 'widgets' WHEN regexp_matches(source, '(?i)setting|option|menu|save|load|slot|panel|button|hud|footer|version|import|export|config') THEN 'ui' ELSE 'narrative' END AS area, count(*) AS n FROM documents GROUP BY ALL")
 def area_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -106,11 +95,6 @@ def text_units_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.units(scanned).where("claim = 1").select("unit_id", "passage", "kind", "family", "risk_level", "start_offset", "end_offset", "raw_text", "protected_text", F.size("placeholders").alias("n_placeholders"))
 
 
-@query()
-def page_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inv.issues(inv.scan_passages(_story(spark, sf_dir)))
-
-
 _MARKED = "'<<if $n gt ' || item_id || '>>' || regexp_replace(text, '[^A-Za-z ]', '', 'g') || ' <<he>><<else>>Other words here<<endif>> [[Go on|Room ' || item_id || ']]'"
 
 
@@ -436,16 +420,6 @@ def plan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Scalars, bags, tags --------------------------------------------------------------------------------------------------
 
 
-@query("""WITH t AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<<[\\s\\S]*?>>', ' ', 'g'), '</?[A-Za-z][A-Za-z0-9-]*(?:\\s+[^<>]*?)?/?>')) AS tag FROM pages)
-          SELECT page_id, CASE WHEN tag LIKE '</%' THEN 'close' WHEN tag LIKE '%/>' THEN 'self' ELSE 'open' END || ':' || lower(regexp_extract(tag, '</?([A-Za-z][A-Za-z0-9-]*)', 1)) AS token, count(*) AS n FROM t GROUP BY ALL""")
-def html_tag_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tag = F.explode(F.regexp_extract_all(F.regexp_replace("html", r"<<[\s\S]*?>>", " "), F.lit(r"(</?[A-Za-z][A-Za-z0-9-]*(?:\s+[^<>]*?)?/?>)"), F.lit(1)))
-    rows = table(spark, sf_dir, "pages").select("page_id", tag.alias("tag"))
-    kind = F.when(F.col("tag").startswith("</"), "close").when(F.col("tag").endswith("/>"), "self").otherwise("open")
-    token = F.concat(kind, F.lit(":"), F.lower(F.regexp_extract("tag", "</?([A-Za-z][A-Za-z0-9-]*)", 1)))
-    return rows.groupBy("page_id", token.alias("token")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT page_id, regexp_extract(html, 'lang=\"([^\"]*)\"', 1) AS lang, len(regexp_extract_all(regexp_extract(html, '<html[^>]*>'), '[A-Za-z_][A-Za-z0-9_:.-]*=\"[^\"]*\"'))::INT AS n FROM pages")
 def html_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = st.attributes_column(F.regexp_extract("html", "<html[^>]*>", 0))
@@ -498,24 +472,6 @@ def leak_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(sc.leaks(F.col("html")), "|").alias("leaks"))
 
 
-@query(f"""WITH {LINES}, d AS (SELECT doc_id, i, CASE WHEN contains(line, '|') THEN 1 WHEN contains(line, '.') THEN -1 ELSE 0 END AS step FROM lines),
-           s AS (SELECT doc_id, i, sum(step) OVER w AS total FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-           m AS (SELECT doc_id, i, total, least(0, min(total) OVER (PARTITION BY doc_id ORDER BY i)) AS low FROM s) SELECT doc_id, i, (total - low)::INT AS depth FROM m""")
-def nesting_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A running depth that never falls below 0: the running sum less its least value so far, where that is negative."""
-    step = F.when(F.contains("line", F.lit("|")), 1).when(F.contains("line", F.lit(".")), -1).otherwise(0)
-    w = Window.partitionBy("doc_id").orderBy("i")
-    rows = lines(table(spark, sf_dir, "documents")).withColumn("total", F.sum(step).over(w))
-    return rows.select("doc_id", "i", (F.col("total") - F.least(F.lit(0), F.min("total").over(w))).cast("int").alias("depth"))
-
-
-@query(f"WITH {UNITS} SELECT code, count(*) AS n FROM (SELECT 'HARD_PRINTF_CHANGED' AS code, len(regexp_extract_all(raw_text, '%(?:[0-9]+\\$)?[sdif]')) + 1 AS k FROM units) GROUP BY code")
-def tier_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiered findings of pairs in which the translation has one more printf sign: findings by code, once an entry."""
-    rows = own_units(spark, sf_dir).select("unit_id", F.explode(tc.tiers(F.col("raw_text"), F.concat("raw_text", F.lit(" %d")))).alias("f"))
-    return rows.select("unit_id", "f.code").distinct().groupBy("code").agg(F.count("*").alias("n"))
-
-
 @query("SELECT 'A' AS tier, count(*) AS total, count(*) FILTER (WHERE page_id % 2 = 0) AS passed, max(length(html))::INT AS max_text_length FROM pages")
 def scenario_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
@@ -662,12 +618,6 @@ def adopt_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ed.adopt_project(stored, own).select("unit_id", "source", "status")
 
 
-@query(f"WITH {UNITS} SELECT count(*) AS checked, 0::BIGINT AS clean, count(*) AS with_findings, count(*) AS hard_findings, count(*) AS hard_entries FROM units")
-def analyze_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = own_units(spark, sf_dir).select(F.col("passage").alias("where_"), F.col("i").alias("pos"), F.col("raw_text").alias("source"), F.concat("raw_text", F.lit(" %d")).alias("target"))
-    return tk.analyze_pairs(pairs)[0].select("checked", "clean", "with_findings", "hard_findings", "hard_entries")
-
-
 @query("SELECT item_id, 'if' AS name, FALSE AS closing, ' $n gt ' || item_id AS body FROM benchmark UNION ALL SELECT item_id, 'print', FALSE, ' $x' FROM benchmark UNION ALL SELECT item_id, 'if', TRUE, '' FROM benchmark")
 def macro_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("<<if $n gt "), F.col("item_id").cast("string"), F.lit(">>"), "text", F.lit("<<= $x>><</if>>")).alias("content"))
@@ -703,3 +653,6 @@ def plan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beyond parity: the stream's tumbling windows over the table as a batch."""
     return imports.event_windows(table(spark, sf_dir, "events")).select("start", "event_type", "n")
+
+
+from textloom.plans import proofs  # noqa: E402, F401  its queries register themselves
