@@ -50,7 +50,7 @@ def validate_entries(entries: DataFrame, passages: DataFrame) -> DataFrame:
     allow: array of (code, reason).  The first passage of a name counts.  Hard and structural findings are errors unless allowed.
     """
     names = first_wins(passages.select(F.col("name").alias("passage"), "content", "passage_ord"), "passage", "passage_ord").drop("passage_ord")
-    by_id, by_site = Window.partitionBy("id").orderBy("ord"), Window.partitionBy("passage", "from_text").orderBy("ord")
+    by_id, by_site = Window.partitionBy(F.coalesce("id", F.concat(F.lit("\0"), F.col("ord").cast("string")))).orderBy("ord"), Window.partitionBy("passage", "from_text").orderBy("ord")
     e = entries.withColumn("nth_id", F.row_number().over(by_id)).withColumn("nth_site", F.row_number().over(by_site)).join(names, "passage", "left")
     missing = F.when(F.coalesce("passage", F.lit("")) == "", "missing-passage").when(F.coalesce("from_text", F.lit("")) == "", "missing-from").when(F.coalesce("to_text", F.lit("")) == "", "missing-to")
     n = tc.occurrences(F.col("content"), F.col("from_text"))

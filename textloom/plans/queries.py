@@ -157,12 +157,12 @@ def _both_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     """Returned files from conversations: user turns as JSONL, assistant turns as CSV, by turn pair."""
     c = table(spark, sf_dir, "conversations")
     unit = F.concat("conv_id", F.lit("-"), F.floor(F.col("turn") / 2)).alias("unit_id")
-    text = F.when(F.length("text") % 3 == 0, F.lit(" ")).otherwise(F.substring("text", 1, 12)).alias("translation")
+    text = F.when(F.length("text") % 3 == 0, F.lit(" ")).when(F.length("text") % 3 == 1, F.concat(F.lit("conv "), "conv_id")).otherwise(F.col("text")).alias("translation")
     return tuple(c.where(F.col("turn") % 2 == k).select(unit, text, F.col("turn").alias("ord")) for k in (0, 1))
 
 
 _FILES = """
-turns AS (SELECT conv_id || '-' || (turn // 2) AS unit_id, turn, CASE WHEN length(text) % 3 = 0 THEN ' ' ELSE substr(text, 1, 12) END AS t FROM conversations),
+turns AS (SELECT conv_id || '-' || (turn // 2) AS unit_id, turn, CASE length(text) % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'conv ' || conv_id ELSE text END AS t FROM conversations),
 j AS (SELECT unit_id, arg_max(t, turn) AS jt FROM turns WHERE turn % 2 = 0 GROUP BY unit_id), c AS (SELECT unit_id, arg_max(t, turn) AS ct FROM turns WHERE turn % 2 = 1 GROUP BY unit_id),
 merged AS (SELECT unit_id, nullif(trim(jt, ' ' || chr(9) || chr(10) || chr(13)), '') AS a, nullif(trim(ct, ' ' || chr(9) || chr(10) || chr(13)), '') AS b FROM j FULL OUTER JOIN c USING (unit_id))"""
 
@@ -172,10 +172,10 @@ def merge_jsonl_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kit.merge_segments(*_both_files(spark, sf_dir)).select("unit_id", "translation", "source", "conflict")
 
 
-@query(f"WITH {RECORDS}, new AS (SELECT 'gone:' || item_id AS unit_id, 'new' AS passage, lower(text) AS translation, 'y' AS source_fingerprint FROM benchmark WHERE length(text) % 2 = 0) SELECT * FROM records WHERE unit_id NOT IN (SELECT unit_id FROM new) UNION ALL SELECT * FROM new")
+@query(f"WITH {RECORDS}, new AS (SELECT 'gone:' || item_id AS unit_id, 'new' AS passage, lower(text) AS translation, 'y' AS source_fingerprint FROM benchmark) SELECT * FROM records WHERE unit_id NOT IN (SELECT unit_id FROM new) UNION ALL SELECT * FROM new")
 def upsert_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = records(spark, sf_dir, own_units(spark, sf_dir)).drop("protected_translation")
-    new = table(spark, sf_dir, "benchmark").where(F.length("text") % 2 == 0).select(F.concat(F.lit("gone:"), "item_id").alias("unit_id"), F.lit("new").alias("passage"), F.lower("text").alias("translation"), F.lit("y").alias("source_fingerprint"))
+    new = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("gone:"), "item_id").alias("unit_id"), F.lit("new").alias("passage"), F.lower("text").alias("translation"), F.lit("y").alias("source_fingerprint"))
     return kit.upsert_records(old, new)
 
 
@@ -298,12 +298,12 @@ def passage_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_VERSIONS}, base AS (SELECT * FROM body WHERE raw LIKE chr(10) || '%')
-           SELECT f.name AS passage, CASE WHEN contains({fold_sql('m.body')}, {fold_sql('substr(f.content, 1, 40)')}) AND b.name IS NULL THEN 'upstream-added' WHEN contains({fold_sql('m.body')}, {fold_sql('substr(f.content, 1, 40)')}) THEN 'base-identical' WHEN m.name IS NULL THEN 'target-added' ELSE 'target-modified' END AS relation
+           SELECT f.name AS passage, CASE WHEN contains({fold_sql('m.body')}, {fold_sql('f.content')}) AND b.name IS NULL THEN 'upstream-added' WHEN contains({fold_sql('m.body')}, {fold_sql('f.content')}) THEN 'base-identical' WHEN m.name IS NULL THEN 'target-added' ELSE 'target-modified' END AS relation
            FROM fresh f LEFT JOIN body m ON f.name = m.name LEFT JOIN base b ON f.name = b.name""")
 def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _versions(spark, sf_dir)
     base = old.where(F.col("raw").startswith("\n"))
-    rows = new.select(F.col("name").alias("passage"), F.substring("content", 1, 40).alias("from_text"))
+    rows = new.select(F.col("name").alias("passage"), F.col("content").alias("from_text"))
     return mig.provenance(rows, base, old, new.select("name", F.col("content").alias("raw")), new).select("passage", "relation")
 
 
@@ -420,10 +420,13 @@ def plan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Scalars, bags, tags --------------------------------------------------------------------------------------------------
 
 
-@query("SELECT page_id, regexp_extract(html, 'lang=\"([^\"]*)\"', 1) AS lang, len(regexp_extract_all(regexp_extract(html, '<html[^>]*>'), '[A-Za-z_][A-Za-z0-9_:.-]*=\"[^\"]*\"'))::INT AS n FROM pages")
+@query("""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<[A-Za-z][^<>]*>')) AS tag FROM pages)
+          SELECT page_id, count(*) AS tags, sum(len(regexp_extract_all(tag, '[A-Za-z_][A-Za-z0-9_:.-]*="[^"]*"'))) ::BIGINT AS n, max(regexp_extract(tag, 'lang="([^"]*)"', 1)) AS lang FROM t GROUP BY page_id""")
 def html_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = st.attributes_column(F.regexp_extract("html", "<html[^>]*>", 0))
-    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.try_element_at(found, F.lit("lang")), F.lit("")).alias("lang"), F.size(found).alias("n"))
+    """The attributes of all tags of a page."""
+    tag = F.explode(F.regexp_extract_all("html", F.lit("(<[A-Za-z][^<>]*>)"), F.lit(1)))
+    rows = table(spark, sf_dir, "pages").select("page_id", tag.alias("tag")).withColumn("found", st.attributes_column(F.col("tag")))
+    return rows.groupBy("page_id").agg(F.count("*").alias("tags"), F.sum(F.size("found")).alias("n"), F.max(F.coalesce(F.try_element_at("found", F.lit("lang")), F.lit(""))).alias("lang"))
 
 
 @query(f"WITH {UNITS} SELECT unit_id, CASE WHEN i % 3 = 0 THEN 'PLACEHOLDER_COUNT_CHANGED' WHEN i % 3 = 1 THEN 'PLACEHOLDER_ORDER_CHANGED' END AS code FROM units")
@@ -445,12 +448,16 @@ def pseudo_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tc.pseudo(F.col("text")).alias("text"))
 
 
-@query("""WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS key FROM conversations WHERE turn < 2), a AS (SELECT conv_id, key, count(*) FILTER (WHERE turn = 1) - count(*) FILTER (WHERE turn = 0) AS n FROM w GROUP BY ALL),
-          pair AS (SELECT conv_id FROM conversations WHERE turn < 2 GROUP BY conv_id HAVING count(*) = 2) SELECT conv_id, key, n::INT AS n FROM a JOIN pair USING (conv_id) WHERE n <> 0""")
+@query("""WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS key FROM conversations), pair AS (SELECT a.conv_id, a.turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+          d AS (SELECT p.conv_id, p.turn, key, CASE WHEN w.turn = p.turn THEN -1 ELSE 1 END AS n FROM pair p JOIN w ON w.conv_id = p.conv_id AND w.turn IN (p.turn, p.turn + 1))
+          SELECT conv_id || '-' || turn AS pair, key, sum(n)::BIGINT AS n FROM d GROUP BY ALL HAVING sum(n) <> 0""")
 def multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each turn against those of the turn before."""
     c = table(spark, sf_dir, "conversations")
-    a, b = (c.where(F.col("turn") == k).select("conv_id", F.split("text", " ").alias(n)) for k, n in ((0, "a"), (1, "b")))
-    return tk.bag_deltas(a.join(b, "conv_id"), "conv_id").withColumnRenamed("word", "key")
+    a = c.select("conv_id", "turn", F.split("text", " ").alias("a"))
+    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.split("text", " ").alias("b"))
+    pairs = a.join(b, ["conv_id", "turn"]).select(F.concat("conv_id", F.lit("-"), "turn").alias("pair"), "a", "b")
+    return tk.bag_deltas(pairs, "pair").withColumnRenamed("word", "key")
 
 
 @query("SELECT role AS tag, 'conv' || conv_id AS name, max(turn) AS last FROM conversations GROUP BY ALL")
@@ -549,13 +556,13 @@ def passages_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.by_name(rows).select("name", "content")
 
 
-@query(f"""WITH {LINES}, e AS (SELECT l.doc_id, line, text, CASE WHEN line = '' THEN 0 ELSE (length(text) - length(replace(text, line, ''))) // length(line) END AS n FROM lines l JOIN labels USING (doc_id) JOIN documents USING (doc_id) WHERE i = 0)
-          SELECT doc_id AS ord, 'doc' || doc_id AS passage, CASE WHEN line <> '' THEN n::INT END AS occurrences, CASE WHEN line = '' THEN 'missing-from' WHEN n > 1 THEN 'occurs-more-than-once' ELSE '' END AS errors FROM e""")
+@query(f"""WITH {LINES}, e AS (SELECT l.doc_id, i, line, text, row_number() OVER (PARTITION BY l.doc_id, line ORDER BY i) AS nth, CASE WHEN line = '' THEN 0 ELSE (length(text) - length(replace(text, line, ''))) // length(line) END AS n FROM lines l JOIN labels USING (doc_id) JOIN documents USING (doc_id))
+          SELECT doc_id * 100000 + i AS ord, 'doc' || doc_id AS passage, CASE WHEN line <> '' THEN n::INT END AS occurrences, CASE WHEN line = '' THEN 'missing-from' ELSE array_to_string(list_filter([CASE WHEN nth > 1 THEN 'duplicate-passage-from' END, CASE WHEN n > 1 THEN 'occurs-more-than-once' END], lambda x: x IS NOT NULL), '|') END AS errors FROM e""")
 def validate_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first lines of labelled documents as entries."""
+    """All lines of labelled documents as entries."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id")
-    heads = lines(docs).where("i = 0").join(labels, "doc_id")
-    entries = heads.select(F.col("doc_id").alias("ord"), F.lit(None).cast("string").alias("id"), F.concat(F.lit("doc"), "doc_id").alias("passage"), F.col("line").alias("from_text"), F.concat("line", F.lit(" zz")).alias("to_text"), F.lit(None).cast("boolean").alias("all_sites"), F.lit(None).cast("array<struct<code: string, reason: string>>").alias("allow"))
+    heads = lines(docs).join(labels, "doc_id")
+    entries = heads.select((F.col("doc_id") * 100000 + F.col("i")).alias("ord"), F.lit(None).cast("string").alias("id"), F.concat(F.lit("doc"), "doc_id").alias("passage"), F.col("line").alias("from_text"), F.concat("line", F.lit(" zz")).alias("to_text"), F.lit(None).cast("boolean").alias("all_sites"), F.lit(None).cast("array<struct<code: string, reason: string>>").alias("allow"))
     passages = docs.select(F.concat(F.lit("doc"), "doc_id").alias("name"), F.col("text").alias("content"), F.col("doc_id").alias("passage_ord"))
     return mig.validate_entries(entries, passages).select("ord", "passage", "occurrences", F.array_join("errors", "|").alias("errors"))
 
@@ -576,11 +583,11 @@ def _aligned(source: DataFrame, target: DataFrame) -> DataFrame:
     return mig.align_files(s, t, "2.0").join(names, F.col("path") == F.col("digest")).select(F.col("own").alias("path"), "relation")
 
 
-@query("""WITH e AS (SELECT doc_id, substr(text, 1, 10) AS needle FROM documents UNION ALL SELECT doc_id, substr(text, 1, 10) || '@' FROM documents)
+@query("""WITH e AS (SELECT doc_id, text AS needle FROM documents UNION ALL SELECT doc_id, text || '@' FROM documents)
           SELECT DISTINCT d.doc_id::VARCHAR AS id, e.needle FROM e JOIN documents d USING (doc_id) WHERE NOT contains(d.text, e.needle)""")
 def unmet_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("doc"), "doc_id").alias("passage"), "text").where("text IS NOT NULL")
-    expected = docs.select("id", "passage", F.explode(F.array(F.substring("text", 1, 10), F.concat(F.substring("text", 1, 10), F.lit("@")))).alias("needle"))
+    expected = docs.select("id", "passage", F.explode(F.array("text", F.concat("text", F.lit("@")))).alias("needle"))
     return sc.unmet_expectations(expected, docs.select("passage", "text"))
 
 
