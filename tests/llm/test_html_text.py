@@ -18,6 +18,13 @@ CASES = {
     "unclosed ad": ("<article><p>a<div class=ad><p>b</div><p>c", "a\nc"),
     "lists": ("<article><ul><li>one<li>two</ul><table><tr><td>x<td>y</table></article>", "one\ntwo\nx\ny"),
     "references": ("<article>&lt;p&gt; &#65;&#x42; &nbsp;&am &amp &quo</article>", "<p> AB &am & &quo"),
+    "hyphenated names": ("<article><div class='social-impact'><p>body one</p></div><section id='related-work'><h2>Work</h2><p>body two</p></section><div class='side-bar'>x</div><div class=cookieNotice>y</div><div id=menu-2>z</div></article>", "body one\nWork\nbody two"),
+    "cards after": ("<article><h1>T</h1><p>The article itself.</p></article><article class='related-card'><h3><a href=1>Other</a></h3><p>Teaser</p></article>", "T\nThe article itself."),
+    "heading alone": (f"<article><h1>T</h1></article><div class=text><p>{'The body stands outside. ' * 9}</p><p>short</p></div><div><p><a href=1>more</a></p></div>", f"T\n{('The body stands outside. ' * 9).strip()}\nshort"),
+    "label and math": ("<article><p>Press <label>this key</label> if <math><mi>x</mi></math> is 0.</p></article>", "Press this key if x is 0."),
+    "short lines": (f"<article>{'<p>Few words here.</p>' * 20}</article><div>{'A long legal remark that nobody reads. ' * 5}</div>", "\n".join(["Few words here."] * 20)),
+    "teasers": (f"<article><a href=1>One</a></article><article><a href=2>Two</a></article><div><p>{'Text of the page. ' * 20}</p></div>", ("Text of the page. " * 20).strip()),
+    "divs": (f"<div><div><p>{'First words. ' * 20}</p></div><div><p>tiny</p></div><div><p>{'Last words. ' * 20}</p></div></div><div><ul><li><a href=1>a</a></ul></div>", f"{('First words. ' * 20).strip()}\ntiny\n{('Last words. ' * 20).strip()}"),
     "has-sidebar": ("<div class='page has-sidebar'><article>a</article></div>", "a"),
 }
 
@@ -62,3 +69,29 @@ def test_edge_rows(spark):
     df = spark.createDataFrame([(None, None, "x"), (2, "", "y"), (2, "<p>a", "z")], "page_id long, html string, text string")
     assert sorted(tuple(r) for r in extract_html(df).select("text", "main_text").collect()) == [("x", ""), ("y", ""), ("z", "a")]
     assert extract_html(df.limit(0)).count() == 0
+
+
+def test_without_word_list_the_clusters_still_decide(spark, sf_dir, monkeypatch):
+    """With no word for adverts and notices known and elements not told apart by name, regions are chosen by their text alone."""
+    import textloom.llm.html_text as ht
+
+    monkeypatch.setattr(ht, "SKIP_WORDS", set())
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    exact = dropped = whole = 0
+    for r in pages:
+        exact += ht.main_text(r.html) == expected(r.html)
+        loose = re.sub("<(/?)article>", r"<\1div>", r.html)
+        parser = ht.Lines()
+        parser.feed(loose)
+        parser.close()
+        kept = set(ht.main_text(loose).split("\n"))
+        dropped += any(" ".join("".join(x.text).split()) not in kept for x in parser.lines if "".join(x.text).strip())
+        body = expected(r.html).split("\n")
+        whole += sum(len(x) for x in body if x in kept) >= 0.9 * sum(map(len, body))
+    print(f"{len(pages)} pages: {exact} exact by clusters, {dropped} lose lines without article elements, {whole} then keep nine tenths of the article")
+    assert exact >= 0.95 * len(pages) and dropped >= 0.5 * len(pages) and whole >= 0.95 * len(pages)
+
+
+def test_a_column_named_like_the_result_is_replaced(spark):
+    df = spark.createDataFrame([(1, "<p>a</p>", "old", "x")], "page_id long, html string, main_text string, text string")
+    assert extract_html(df).select("main_text", "text").collect() == [("a", "x")]

@@ -5,10 +5,13 @@ characters of it inside links, the tags met in it, and the element that holds it
 element (menus, asides, forms, scripts ...) or by the words of its class, id or role (adverts, notices, reader comments
 ...) never becomes a line.  Then regions are selected:
 
-* lines of ``article`` elements, else of ``main`` elements, if these have any text: such a region is taken whole;
-* else the text-to-tag ratios of the lines are smoothed with a Gaussian, split into two clusters by the threshold that
-  separates their means best, and the regions are the runs of lines in the upper cluster that aren't mostly links; a
-  region reaches over lower lines between two of its lines in the same element and over a heading right before it.
+* a line's ratio is its characters outside of links by the tags in it and one; ratios are smoothed with a Gaussian along the lines of one region,
+  an outermost ``article``, else a ``main``, else the element that holds the lines' blocks;
+* the threshold that separates the means of two clusters of the page's smoothed ratios best says which lines are high; regions with a high line that
+  isn't mostly links are candidates, as is the region with the most text;
+* where candidates in ``article`` or ``main`` hold at least half of the candidates' text, only these stay, so elements are a signal that the
+  text has to confirm; else all candidates stay;
+* a region that stays is taken whole, with a heading right before it and with regions between two that stay, unless these are mostly links.
 
 Character references are decoded, white space inside a line becomes one space, lines are trimmed, empty ones left out, and
 the rest is joined by one newline in page order.
@@ -24,18 +27,19 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-# Element names of the HTML standard, and words that sites use in class, id and role.
+# Element names of the HTML standard, words that sites use in class, id and role for what is no article, and words for mere layout.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
-SKIP = set("head title nav menu aside footer form script style noscript template iframe object canvas svg math select button textarea input label dialog audio video map".split())
+SKIP = set("head title nav menu aside footer form script style noscript template iframe object canvas svg select option button textarea input dialog audio video map".split())
 SKIP_WORDS = set("nav navbar navigation menu menus sidebar aside header masthead topbar footer ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall share sharing social breadcrumb breadcrumbs pagination pager comment comments commentlist disqus respond replies related recommended toolbar widget login search searchform copyright complementary contentinfo".split())
-NOT_AFTER = set("has with without no is page layout site".split())
+LAYOUT_WORDS = set("area bar block body box button buttons card cards container content count form footer group head icons inner item items left link links list main menu message outer page panel posts primary right row secondary section site slot strip text thread title top bottom unit widget wrap wrapper".split())
 ARTICLE_WORDS = set("article post entry story content".split())
 HEADING = {f"h{i}" for i in range(1, 7)}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -45,6 +49,19 @@ SIGMA = 1.0
 KEEP, DROP, TITLES = 0, 1, 2
 
 
+def _parts(name: str) -> list[str]:
+    return [w.lower() for w in _SPLIT.split(name) if w]
+
+
+def boilerplate(name: str) -> set[str]:
+    """The words for no article in a class, id or role, if all of it is such words, layout words and numbers: ad-box, but not social-impact."""
+    parts = _parts(name)
+    whole = "".join(parts)
+    if whole in SKIP_WORDS:
+        return {whole}
+    return set(parts) & SKIP_WORDS if all(w in SKIP_WORDS or w in LAYOUT_WORDS or w.isdigit() for w in parts) else set()
+
+
 class Line:
     __slots__ = ("text", "linked", "tags", "holder", "region", "heading")
 
@@ -63,17 +80,14 @@ class Lines(HTMLParser):
     def fate(self, tag: str, attrs: list, above: int, region) -> int:
         if above == DROP or tag in SKIP:
             return DROP
-        words: list[str] = []
-        for k, v in attrs:
-            if k in ("class", "id", "role") and v:
-                words += [w.lower() for w in _SPLIT.split(v) if w] + [""]
-        found = {w for a, w in zip(["", *words], words) if w in SKIP_WORDS and a not in NOT_AFTER}
+        names = [n for k, v in attrs if k in ("class", "id", "role") and v for n in v.split()]
+        found = {w for n in names for w in boilerplate(n)}
         if tag in ("html", "body", "main"):
             found = set()
         elif tag == "article":
-            found &= {"comment", "comments"}
+            found &= {"comment", "comments", "related", "recommended", "ad", "ads", "promo", "promoted", "sponsored"}
         if tag == "header" or found == {"header"}:
-            return TITLES if region is not None or ARTICLE_WORDS & set(words) else DROP
+            return TITLES if region is not None or any(ARTICLE_WORDS & set(_parts(n)) for n in names) else DROP
         return DROP if found else above
 
     def start(self, tag: str, attrs: list) -> None:
@@ -169,21 +183,38 @@ def threshold(values: list[float]) -> float:
 
 
 def select(lines: list[tuple[str, Line]]) -> list[str]:
-    for kind in ("article", "main"):
-        if any(x.region and x.region[0] == kind for _, x in lines):
-            return [t for t, x in lines if x.region and x.region[0] == kind]
-    ratio = smoothed([len(t) / (1 + x.tags) for t, x in lines])
+    regions = [x.region or ("", x.holder) for _, x in lines]
+    plain = [max(0, len(t) - x.linked) for t, x in lines]
+    ratio: list[float] = []
+    for _, run in groupby(range(len(lines)), key=lambda i: regions[i]):
+        ratio += smoothed([plain[i] / (1 + lines[i][1].tags) for i in run])
     least = threshold(ratio)
-    main = [i for i, (t, x) in enumerate(lines) if ratio[i] >= least and 2 * x.linked < len(t)]
-    keep = set(main)
-    for a, b in zip(main, main[1:]):
-        if lines[a][1].holder == lines[b][1].holder:
-            keep |= {i for i in range(a + 1, b) if lines[i][1].holder == lines[a][1].holder}
-    for i in main:
-        while i and lines[i - 1][1].heading:
-            i -= 1
-            keep.add(i)
-    return [t for i, (t, _) in enumerate(lines) if i in keep]
+    size: Counter = Counter()
+    for r, n in zip(regions, plain):
+        size[r] += n
+    stay = {r for r, q, n, (t, _) in zip(regions, ratio, plain, lines) if q >= least and 2 * n > len(t)}
+    if size:
+        stay.add(max(size, key=lambda r: size[r]))
+    marked = {r for r in stay if r[0]}
+    if marked and 2 * sum(size[r] for r in marked) >= sum(size[r] for r in stay):
+        stay = marked
+    keep = [r in stay for r in regions]
+    runs = [(k, list(run)) for k, run in groupby(range(len(lines)), key=lambda i: keep[i])]
+    for n, (kept, run) in enumerate(runs):
+        if kept:
+            continue
+        if 0 < n < len(runs) - 1 and not regions[runs[n - 1][1][-1]][0] and not regions[runs[n + 1][1][0]][0]:
+            for r, own in groupby(run, key=lambda i: regions[i]):
+                own = list(own)
+                if not r[0] and 2 * sum(plain[i] for i in own) > sum(len(lines[i][0]) for i in own):
+                    for i in own:
+                        keep[i] = True
+        if n < len(runs) - 1:
+            for i in reversed(run):
+                if not lines[i][1].heading:
+                    break
+                keep[i] = True
+    return [t for k, (t, _) in zip(keep, lines) if k]
 
 
 def main_text(html: str | None) -> str:
@@ -197,7 +228,7 @@ def main_text(html: str | None) -> str:
 
 
 def extract_html(pages: DataFrame, html_col: str = "html", name: str = "main_text") -> DataFrame:
-    """``pages`` with the main text as column ``name``."""
+    """``pages`` with the main text as column ``name``; a column of that name is replaced, others pass as they are."""
 
     @F.pandas_udf("string")
     def extract(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
