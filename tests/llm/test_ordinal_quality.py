@@ -77,3 +77,82 @@ def test_edge_rows(spark):
     assert oq.score(docs.limit(0), model, 3, 2, name="q").count() == 0
     with pytest.raises(Exception):
         oq.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, grade int"), 3, text_col="absent")
+
+
+def plain_fit(texts, grades, n_grades):
+    """The same model in plain Python: full-batch Adam on the weighted log-likelihood, row by row."""
+    rows = []
+    for t in texts:
+        row = {}
+        for k, v in oq.tokens(t).items():
+            row[oq._place(k)] = row.get(oq._place(k), 0.0) + v
+        rows.append(row)
+    held = {p for p in {p for r in rows for p in r} if sum(p in r for r in rows) >= min(oq.MIN_DOCS, len(rows))}
+    rows = [{p: v for p, v in r.items() if p in held} for r in rows]
+    share = [(len(rows) / max(1, sum(g == k for g in grades))) ** oq.BALANCE for k in range(n_grades)]
+    weight = [share[g] / sum(share[g] for g in grades) for g in grades]
+    w, theta = dict.fromkeys(sorted(held), 0.0), [-1.0] + [0.0] * (n_grades - 2)
+    names = [*w, *range(-len(theta), 0)]
+    first, second = dict.fromkeys(names, 0.0), dict.fromkeys(names, 0.0)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def cuts():
+        out = [theta[0]]
+        for x in theta[1:]:
+            out.append(out[-1] + np.exp(x))
+        return out
+
+    for step in range(1, oq.STEPS + 1):
+        c, grad = cuts(), {k: oq.DECAY * w[k] for k in w} | dict.fromkeys(range(-len(theta), 0), 0.0)
+        for r, g, u in zip(rows, grades, weight):
+            s = sum(w[p] * v for p, v in r.items())
+            upper, lower = (sigmoid(c[g] - s) if g < n_grades - 1 else 1.0), (sigmoid(c[g - 1] - s) if g else 0.0)
+            p = max(upper - lower, 1e-12)
+            up, low = u * upper * (1 - upper) / p, u * lower * (1 - lower) / p
+            for k, v in r.items():
+                grad[k] += (up - low) * v
+            for cut, x in ((g, -up), (g - 1, low)):  # a cut moves with its own step and all before it
+                if 0 <= cut < n_grades - 1:
+                    for k in range(cut + 1):
+                        grad[k - len(theta)] += x * (1.0 if k == 0 else np.exp(theta[k]))
+        for k in names:
+            first[k] += 0.1 * (grad[k] - first[k])
+            second[k] += 0.001 * (grad[k] ** 2 - second[k])
+            move = oq.RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-9)
+            if k in w:
+                w[k] -= move
+            else:
+                theta[k + len(theta)] -= move
+    return w, cuts()
+
+
+def test_fit_and_scores_match_a_plain_version(spark, sf_dir):
+    """Over whole texts of the given table: the fit by plain loops, and every document's score from it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    few = sorted(text)[:48]
+    grade = {i: i % 3 for i in few}
+    ratings = spark.createDataFrame([(i, g) for i, g in grade.items()], "doc_id long, grade int")
+    model = oq.fit(docs, ratings, 3)
+    w, cuts = plain_fit([text[i] for i in few], [grade[i] for i in few], 3)
+    assert model["weights"].keys() == w.keys() and max(abs(model["weights"][k] - w[k]) for k in w) < 1e-3
+    assert np.allclose(model["cuts"], cuts, atol=1e-3)
+    for r in oq.score(docs, model, 3, 2, name="q").collect():
+        s = sum(model["weights"].get(oq._place(k), 0.0) * v for k, v in oq.tokens(r.text).items())
+        above = [1 - 1 / (1 + np.exp(-(c - s))) for c in model["cuts"]]
+        assert r.q.expected_grade == pytest.approx(sum(above)) and r.q.tail_prob == pytest.approx(above[1])
+
+
+def test_query_on_held_out_labels(spark, monkeypatch):
+    """The query's own model and grades, but fitted on the labels of every other document; the rest was not seen."""
+    from textloom.llm import queries
+
+    sf, table = "/root/testdata/sf0.1", queries.table
+    monkeypatch.setattr(queries, "table", lambda spark, d, name: table(spark, d, name).where("doc_id % 2 = 0") if name == "labels" else table(spark, d, name))
+    got = queries.op9_ordinal_quality(spark, sf)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("doc_id % 2 = 1")
+    rows = got.join(labels, "doc_id").select("keep", "tail_prob", "toxic", "quality").collect()
+    toxic, clean = [r for r in rows if r.toxic], [r for r in rows if not r.toxic and r.quality]
+    print(f"held out: {len(rows)} rows, toxic kept {np.mean([r.keep for r in toxic]):.3f}, clean kept {np.mean([r.keep for r in clean]):.3f}")
+    assert np.mean([r.keep for r in toxic]) < 0.15 and np.mean([r.keep for r in clean]) > 0.9
+    assert len(rows) > 500
