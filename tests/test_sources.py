@@ -117,6 +117,35 @@ def test_git_tree(spark, tmp_path):
     assert [r.path for r in g.read_tree(spark, str(tmp_path), "HEAD").collect()] == ["game/a.twee", "readme"]
     assert [(r.file, r.text) for r in g.read_sources(spark, str(tmp_path), "HEAD").collect()] == [("game/a.twee", ":: A\nx")]
     assert g.read_blobs(str(tmp_path), ["HEAD:readme", "HEAD:none"]) == {"HEAD:readme": b"r", "HEAD:none": None}
-    assert len(g.resolve(str(tmp_path), "HEAD")["commit"]) == 40
+    facts = g.resolve(str(tmp_path), "HEAD")
+    assert len(facts["commit"]) == 40 and facts["object_type"] == "commit" and (facts["author"], facts["subject"]) == ("t", "m")
+    with pytest.raises(ValueError):
+        g.require_repository(str(tmp_path / "game" / "none"))
     with pytest.raises(RuntimeError):
         g.resolve(str(tmp_path), "nothing")
+
+
+def test_session_folders_and_reports(tmp_path):
+    from datetime import datetime
+
+    assert ar.session_stamp(datetime(2024, 3, 5, 7, 8, 9)) == "20240305-070809"
+    made = [ar.session_folder(str(tmp_path / "r"), "s") for _ in range(3)]
+    assert [m.rsplit("/", 1)[1] for m in made] == ["s", "s-2", "s-3"]
+    assert ar.write_json_once("{}", made[0] + "/a.json") and not ar.write_json_once("[]", made[0] + "/a.json") and open(made[0] + "/a.json").read() == "{}"
+
+
+def test_a_missing_story_is_named(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        st.read_story(spark, str(tmp_path / "none.html"))
+    with pytest.raises(ValueError):
+        st.read_story(spark, "")
+
+
+def test_a_pack_is_written_only_if_its_plan_is_sound(spark, tmp_path):
+    from textloom.operators import planner as pl
+
+    row = dict.fromkeys(pl._NAMES) | {"passage": "P", "what": "entry", "from_text": "a", "to_text": "b", "all_sites": False, "patch_start": 0, "patch_end": 1}
+    good = spark.createDataFrame([tuple(row[n] for n in pl._NAMES)], pl.ROW)
+    bad = good.unionByName(spark.createDataFrame([tuple((row | {"what": "failure", "reason": "NO_OP"})[n] for n in pl._NAMES)], pl.ROW))
+    assert [tuple(r) for r in ar.patch_pack(bad, str(tmp_path / "bad")).collect()] == [("NO_OP", 1)] and not (tmp_path / "bad").exists()
+    assert ar.patch_pack(good, str(tmp_path / "good")).count() == 0 and spark.read.json(str(tmp_path / "good")).first()["passageName"] == "P"

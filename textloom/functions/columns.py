@@ -80,6 +80,11 @@ def has_word(c: Column) -> Column:
     return c.rlike("[A-Za-z]{2,}")
 
 
+def shows_english(c: Column) -> Column:
+    """The plain readers' test: two words side by side, or one of four letters and more."""
+    return c.rlike("[A-Za-z]{3,}") & (c.rlike("[A-Za-z]{2,}[ \\t][A-Za-z]{2,}") | c.rlike(r"\b[A-Za-z]{4,}\b"))
+
+
 def is_url(c: Column) -> Column:
     s = fold(c)
     host = r"(?i)^(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+(?:[a-z]{2,})(?:[/?#]\S*)?$"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -88,8 +89,16 @@ def histograms(rows: DataFrame) -> DataFrame:
 def inventory_fingerprint(rows: DataFrame) -> DataFrame:
     """sha256 over the sorted lines unit_id NUL protected_hash, 32 hex digits.
 
-    The lines of an inventory are one string by definition, so they meet in one row; inventories are one story's units.
+    The lines of an inventory are one string by definition, so one task reads them all; it sorts them on disk if need be and holds one batch.
     """
+
+    def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, lead = hashlib.sha256(), ""
+        for frame in frames:
+            for x in frame["line"]:
+                total.update((lead + x).encode())
+                lead = "\n"
+        yield pd.DataFrame({"fingerprint": ["sha256:" + total.hexdigest()[:32]]})
+
     line = F.concat("unit_id", F.lit("\0"), tc.protected_hash(F.col("protected_text")))
-    whole = F.array_join(F.array_sort(F.collect_list("line")), "\n")
-    return rows.select(line.alias("line")).agg(F.concat(F.lit("sha256:"), F.substring(F.sha2(whole, 256), 1, 32)).alias("fingerprint"))
+    return rows.select(line.alias("line")).repartition(1).sortWithinPartitions("line").mapInPandas(digest, "fingerprint string")

@@ -105,6 +105,12 @@ def unmet_expectations(expected: DataFrame, texts: DataFrame) -> DataFrame:
     return expected.select("id", "needle").join(hit, ["id", "needle"], "left_anti")
 
 
+def same_lists(before: Column, after: Column) -> Column:
+    """struct(comparable, same): two lists of names, kept before and after a run, with the same names in the same order; a null list can't be compared."""
+    there = before.isNotNull() & after.isNotNull()
+    return F.struct(there.alias("comparable"), (there & F.coalesce(before == after, F.lit(False))).alias("same"))
+
+
 def leaks(c: Column) -> Column:
     rules = (("rawMacro", r"<<[^>]*?>>"), ("placeholder", tc.PLACEHOLDER), ("unresolvedLink", r"\[\[|\]\]"), ("entityNoise", "&lt;&lt;|&amp;lt;|&amp;gt;"), ("templateLiteral", r"\$\{[^}]*\}"), ("dollarVariable", r"\$[A-Za-z_]"))
     return some(*[F.when(c.rlike(p), k) for k, p in rules])

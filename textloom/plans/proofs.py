@@ -14,6 +14,7 @@ from textloom.functions import columns as tc
 from textloom.operators import inventory as inv
 from textloom.operators import kit
 from textloom.operators import planner as pl
+from textloom.operators import scenarios as sc
 from textloom.operators import tokens as tk
 from textloom.plans.base import RECORDS, UNITS, records, table, units
 from textloom.plans.queries import query
@@ -249,6 +250,30 @@ def story_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.stories(files).select("path", "part", "ord", "name", "content", F.coalesce(F.array_join("tags", "|"), F.lit("")).alias("tags"), "sha256")
 
 
+@query(f"""WITH {ITEMS} SELECT item_id::VARCHAR AS path, part, kind, id, type, position FROM items, (VALUES ('story', NULL, NULL, NULL, NULL), ('style', 'style', 'twine-user-stylesheet', 'text/twine-css', NULL), ('script', 'script', 'twine-user-script', 'text/twine-javascript', NULL),
+           ('script', 'script', 'twine-user-script', 'text/twine-javascript', NULL), ('passage', NULL, NULL, NULL, '1,2'), ('passage', NULL, NULL, NULL, NULL)) AS p(part, kind, id, type, position)""")
+def story_plain_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = items(spark, sf_dir).select(F.col("item_id").cast("string").alias("path"), filled(STORY).alias("text"))
+    return st.plain_view(st.stories(files)).select("path", "part", "kind", "id", "type", "position")
+
+
+@query("SELECT conv_id, turn, regexp_matches(text, '[A-Za-z]{3,}') AND (regexp_matches(text, '[A-Za-z]{2,}[ \t][A-Za-z]{2,}') OR regexp_matches(text, '\\b[A-Za-z]{4,}\\b')) AS english FROM (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT conv_id, -1 - turn, regexp_replace(text, '[aeiou ]', '-', 'g') FROM conversations)")
+def plain_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain readers' test, over turns as they are and over turns whose words are cut into pieces."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    rows = c.unionByName(c.select("conv_id", (-1 - F.col("turn")).alias("turn"), F.regexp_replace("text", "[aeiou ]", "-").alias("text")))
+    return rows.select("conv_id", "turn", tc.shows_english(F.col("text")).alias("english"))
+
+
+@query("""WITH l AS (SELECT conv_id, list(role ORDER BY turn) AS roles FROM conversations GROUP BY conv_id), p AS (SELECT a.conv_id, a.roles AS x, b.roles AS y FROM l a LEFT JOIN l b ON b.conv_id = a.conv_id + 1)
+          SELECT conv_id, y IS NOT NULL AS comparable, coalesce(x = y, FALSE) AS same FROM p""")
+def list_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's roles against the next one's."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"))
+    both = rows.join(rows.select((F.col("conv_id") - 1).alias("conv_id"), F.col("roles").alias("after")), "conv_id", "left")
+    return both.select("conv_id", sc.same_lists(F.col("roles"), F.col("after")).alias("c")).select("conv_id", "c.comparable", "c.same")
+
+
 @query(f"WITH {RECORDS} SELECT unit_id, passage, translation, source_fingerprint FROM records")
 def state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records as lines of a state, written to the shared folder and read again."""

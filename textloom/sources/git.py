@@ -1,9 +1,11 @@
-"""Source trees of a git repository: listing, blobs and identity of a ref, on the driver; text blobs become rows."""
+"""Source trees of a git repository: listing and identity of a ref on the driver, blobs in tasks."""
 
 from __future__ import annotations
 
 import subprocess
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -14,7 +16,26 @@ def _git(repo: str, *args: str, data: bytes | None = None) -> bytes:
     return done.stdout
 
 
+def require_repository(repo: str) -> str:
+    """The path, if it is one of a repository."""
+    if not repo:
+        raise ValueError("no path of a repository given")
+    try:
+        _git(repo, "rev-parse", "--git-dir")
+    except (OSError, RuntimeError) as e:
+        raise ValueError(f"not a git repository: {repo}") from e
+    return repo
+
+
 def resolve(repo: str, ref: str) -> dict[str, str]:
+    """What a ref is: its own object and type, the commit it leads to, that commit's tree, date, author and subject."""
+    require_repository(repo)
+    facts = _git(repo, "log", "-1", "--format=%an%n%s", ref, "--").decode().split("\n")
+    own = _git(repo, "rev-parse", "--verify", ref).decode().strip()
+    return _commit(repo, ref) | {"object": own, "object_type": _git(repo, "cat-file", "-t", own).decode().strip(), "author": facts[0], "subject": facts[1]}
+
+
+def _commit(repo: str, ref: str) -> dict[str, str]:
     commit, tree, date = _git(repo, "log", "-1", "--format=%H%n%T%n%cI", ref, "--").decode().split("\n")[:3]
     return {"ref": ref, "commit": commit, "tree": tree, "date": date}
 
@@ -49,8 +70,15 @@ def read_blobs(repo: str, names: list[str]) -> dict[str, bytes | None]:
     return found
 
 
-def read_sources(spark: SparkSession, repo: str, ref: str, suffixes: tuple[str, ...] = (".twee",), under: str = "game/") -> DataFrame:
-    """(file, text) of the tree's text files with these endings."""
+def read_sources(spark: SparkSession, repo: str, ref: str, suffixes: tuple[str, ...] = (".twee",), under: str = "game/", step: int = 500) -> DataFrame:
+    """(file, text) of the tree's text files with these endings.  The driver lists names alone; blobs are read in tasks, some hundred a call, so the
+    repository has to be on a folder that all executors share."""
     paths = [r[4] for r in tree_rows(repo, ref) if r[4].startswith(under) and r[4].lower().endswith(suffixes)]
-    blobs = read_blobs(repo, [f"{ref}:{p}" for p in paths])
-    return spark.createDataFrame([(p, (blobs[f"{ref}:{p}"] or b"").decode("utf-8", "replace")) for p in paths], "file string, text string")
+    names = spark.createDataFrame([(p,) for p in paths], "file string").repartition(max(1, -(-len(paths) // step)))
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            blobs = read_blobs(repo, [f"{ref}:{p}" for p in frame["file"]])
+            yield pd.DataFrame({"file": frame["file"], "text": [(blobs[f"{ref}:{p}"] or b"").decode("utf-8", "replace") for p in frame["file"]]})
+
+    return names.mapInPandas(read, "file string, text string")

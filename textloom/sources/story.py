@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.markup import decode_entities
 
-PART = "path string, sha256 string, size long, part string, ord long, pid int, name string, tags array<string>, position string, raw string, content string, content_offset long, offset long, body_start long, attributes map<string, string>"
+PART = "path string, sha256 string, size long, part string, ord long, pid int, name string, tags array<string>, position string, passage_size string, block_kind string, block_id string, block_type string, block_role string, raw string, content string, content_offset long, offset long, body_start long, attributes map<string, string>"
 _NAMES = [x.strip().split(" ")[0] for x in PART.replace("map<string, string>", "m").split(",")]
 # Fixed values of the file format.
 STORY, STORY_END = "<tw-storydata name=", "</tw-storydata>"
@@ -63,14 +63,16 @@ def parse_story(path: str, html: str) -> list[dict]:
         part = "script" if own & _SCRIPT else "style" if own & _STYLE else None
         if part:
             blocks.append(m.span())
-            rows += [base | {"part": part, "name": f, "content": c, "offset": o, "body_start": b} for f, c, o, b in bundle_parts(m[3], body + m.start())]
+            head = attributes(m[2])
+            block = {"part": part, "block_kind": m[1], "block_id": head.get("id"), "block_type": head.get("type"), "block_role": head.get("role")}
+            rows += [base | block | {"name": f, "content": c, "offset": o, "body_start": b} for f, c, o, b in bundle_parts(m[3], body + m.start())]
     for m in _PASSAGE.finditer(text):
         if any(a <= m.start() < b for a, b in blocks):
             continue
         own = attributes(m[1])
         pid = own.get("pid")
         rows.append(base | {
-            "part": "passage", "pid": int(pid) if pid and re.fullmatch(r"\s*-?\d+\s*", pid) else None, "name": own.get("name", ""), "tags": own.get("tags", "").split(), "position": own.get("position"),
+            "part": "passage", "pid": int(pid) if pid and re.fullmatch(r"\s*-?\d+\s*", pid) else None, "name": own.get("name", ""), "tags": own.get("tags", "").split(), "position": own.get("position"), "passage_size": own.get("size"),
             "raw": m[2], "content": decode_entities(m[2]), "content_offset": body + m.start(2), "offset": body + m.start(),
         })
     return [r | {"ord": n} for n, r in enumerate(rows)]
@@ -89,10 +91,21 @@ def stories(files: DataFrame) -> DataFrame:
 
 
 def read_story(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of ``PART`` of a story or a folder of stories; a path that isn't there is an error that names it."""
+    if not path:
+        raise ValueError("no path of a story given")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at):
+        raise FileNotFoundError(f"no story at {path}")
     text = spark.read.text(path, wholetext=True)
     return stories(text.select(F.input_file_name().alias("path"), F.col("value").alias("text")))
 
 
+def plain_view(parts: DataFrame) -> DataFrame:
+    """What a plain reader shows of each part: no hash and no offsets of contents, but a block's kind, id, type and role and a passage's size."""
+    return parts.select("path", "part", "ord", "pid", "name", "tags", "position", F.col("passage_size").alias("size"), F.col("block_kind").alias("kind"), F.col("block_id").alias("id"), F.col("block_type").alias("type"), F.col("block_role").alias("role"), "raw", "content", "offset")
+
+
 def passages(parts: DataFrame) -> DataFrame:
     return parts.where("part = 'passage'").select(F.col("ord").alias("passage_ord"), "pid", "name", "tags", "content", "content_offset")
 
