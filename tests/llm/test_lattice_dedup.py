@@ -92,3 +92,12 @@ def test_edge_rows(spark):
     repeated = got(spark, [(1, e, 1), (1, e, 1), (0, [0.0, 1.0, 0.0], 1)])
     assert repeated == [(0, 0, 0, True), (1, 1, 1, True), (1, 1, 1, True)]
     assert got(spark, []) == []
+
+
+def test_long_vectors_and_clashing_columns(spark):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((3, 6_000))
+    rows = [(i, (base[i % 3] + 0.05 * (i // 3) * rng.standard_normal(6_000)).tolist(), 1, "k", 2.5, "g") for i in range(6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, key string, w double, gid string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ld.lattice_dedup(df).collect()}
+    assert got == {i: (1, i % 3) for i in range(6)}

@@ -88,3 +88,18 @@ def test_rows_that_repeat_the_querys_id_leave_room_for_others(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = mtree_search(df, F.col("vec_id") == 0, 20).orderBy("rank").collect()
     assert [r.vec_id for r in found] == list(range(1, 21))
+
+
+def test_components_beyond_double_and_long_vectors(spark):
+    """Every finite vector takes part; scores are held at the limits of long."""
+    rows = [(0, [1.0, 1.0]), (1, [1e308, 0.0]), (2, [-1e308, 0.0]), (3, [1e200, 1.0]), (4, [2.0, 0.0]), (5, None), (6, [float("inf"), 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r["rank"], r.score) for r in mtree_search(df, F.col("vec_id") == 0, k=9).collect()}
+    top, low = 2**63 - 1, -(2**63)
+    assert got == {1: (1, top), 3: (2, top), 4: (3, 64 * 128), 2: (4, low)}
+    rng = np.random.default_rng(4)
+    long = rng.standard_normal((6, 20_000))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(long)], "vec_id long, embedding array<double>")
+    whole = np.floor(64 * long).astype(np.int64)
+    want = sorted(((int(whole[0] @ whole[j]), j) for j in range(1, 6)), key=lambda x: (-x[0], x[1]))
+    assert [(r.score, r.vec_id) for r in mtree_search(df, F.col("vec_id") == 0, k=5).orderBy("rank").collect()] == want

@@ -2,30 +2,21 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.sources.shared import new_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a data folder, read by Spark alone, so any file system will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir.  Where that is unset, as in tests, a folder of our own in local mode; on a
-    cluster that would be another folder on each machine, so it is an error there."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, name: str, narrow: bool = False, files: int | None = None) -> tuple[DataFrame, str]:
     """``df`` as a table in the shared folder, read again: cuts the lineage and survives lost executors.
 
@@ -35,7 +26,7 @@ def written(df: DataFrame, name: str, narrow: bool = False, files: int | None =
     spark = df.sparkSession
     if narrow:
         df = df.coalesce(files or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -52,3 +43,19 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) == 10_000:
         spark.conf.set(name, rows)
+
+
+def by_task(frames: Iterator[pd.DataFrame], marks: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of each task, which stand together and are told by their marks, whole numbers; memory holds one task and one batch."""
+    rest = None
+    for frame in chain(frames, [None]):
+        if frame is not None:
+            rest = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        if rest is None or not len(rest):
+            continue
+        mark = rest[marks].to_numpy(np.int64)
+        at = [0, *(np.flatnonzero((mark[1:] != mark[:-1]).any(1)) + 1).tolist(), len(rest)]
+        done = len(at) - 1 if frame is None else len(at) - 2
+        for a, b in zip(at[:done], at[1:]):
+            yield rest.iloc[a:b]
+        rest = rest.iloc[at[done] :].reset_index(drop=True)

@@ -142,7 +142,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", name: str = "language") -> DataFrame:
-    """``docs`` with a struct ``name``: lang_pred and score."""
+    """``docs`` with a struct ``name``: lang_pred and score; a column of that name is replaced, others pass as they are."""
     langs = sorted(k for k, v in prototypes.items() if v.any())
     matrix = np.stack([prototypes[k] / np.linalg.norm(prototypes[k]) for k in langs]) if langs else np.zeros((0, DIMENSIONS))
 

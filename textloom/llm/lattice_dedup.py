@@ -6,7 +6,7 @@ probes the ``PROBES`` neighbouring cells that it lies nearest to.  Vectors that
 owner, are compared by cosine in double precision.  For a pair at cosine 0.93 one table finds about 65 %, five
 99.5 %, and more at higher cosines.
 
-Equal vectors of a label are one row with a weight throughout.  A cell's vectors are compared in blocks; cells with over
+Equal vectors of a label are one row with a weight throughout.  Cells are told apart by ids alone; a vector is sent only to cells in which it meets another.  A cell's vectors are compared in blocks; cells with over
 ``BLOCK`` owners or probers are cut into pairs of blocks that are dealt out as tasks of their own.  No pair leaves a task:
 a task returns, for each vector, the weight it is linked to and one link that keeps its block's links connected.  A pair that
 meets in several cells is counted in the first alone, which both vectors' cells tell.  Projections are
@@ -30,11 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import written
+from textloom.llm.common import by_task, drop, written
 from textloom.llm.components import components
 
 TABLES, BLOCKS, PROBES, SCALE, SEED = 5, 2, 4, 3.0, 8
-BLOCK, MAX_BROADCAST = 1024, 10_000
+BLOCK = 1024
 GRID = float(1 << 22)
 
 
@@ -115,27 +115,28 @@ def _by_length(vectors: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, np.stack([np.asarray(vectors[i], np.float64) for i in at])
 
 
-def _emit(wide: bool):
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            labels, keys, weights = list(frame["label"]), list(frame["key"]), list(frame["w"])
-            for at, block in _by_length(list(frame["v"])):
-                own, probed = cells(_unit(block), [labels[i] for i in at])
-                every = np.concatenate([own[:, :, None], probed], 2).reshape(len(at), -1)
-                gid = every.ravel().view(np.int64)
-                role = np.tile(np.arange(every.shape[1]) % (1 + PROBES) > 0, len(at)).astype(np.int32)
-                out = pd.DataFrame({"gid": gid, "role": role})
-                if wide:
-                    of = np.repeat(at, every.shape[1])
-                    narrow = block.astype(np.float32)
-                    raw = [x.tobytes() for x in (narrow if (narrow == block).all() else block)]
-                    out["t"] = np.tile(np.arange(every.shape[1]) // (1 + PROBES), len(at)).astype(np.int32)
-                    out["key"], out["label"], out["w"] = ([x[i] for i in of] for x in (keys, labels, weights))
-                    out["v"] = [raw[k] for k in np.repeat(np.arange(len(at)), every.shape[1])]
-                    out["dims"] = np.int32(block.shape[1])
-                yield out
-
-    return rows
+def _cells_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(gid, role, t, key): a vector's own cell (role 0) and the probed ones (role 1) in each table."""
+    for frame in frames:
+        labels, keys = list(frame["label"]), list(frame["key"])
+        for at, block in _by_length(list(frame["v"])):
+            own, probed = cells(_unit(block), [labels[i] for i in at])
+            every = np.concatenate([own[:, :, None], probed], 2).reshape(len(at), -1)
+            role = np.tile(np.arange(every.shape[1]) % (1 + PROBES) > 0, len(at)).astype(np.int32)
+            table = np.tile(np.arange(every.shape[1]) // (1 + PROBES), len(at)).astype(np.int32)
+            yield pd.DataFrame({"gid": every.ravel().view(np.int64), "role": role, "t": table, "key": [keys[i] for i in np.repeat(at, every.shape[1])]})
+
+
+def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The vectors as bytes, of single precision where that holds them exactly."""
+    for frame in frames:
+        raw, dims = [], []
+        for v in frame["v"]:
+            x = np.asarray(v, np.float64)
+            narrow = x.astype(np.float32)
+            raw.append((narrow if (narrow == x).all() else x).tobytes())
+            dims.append(len(x))
+        yield pd.DataFrame({"key": frame["key"], "label": frame["label"], "w": frame["w"], "v": np.array([*raw, b""], object)[:-1], "dims": np.array(dims, np.int32)})
 
 
 def _links(part: pd.DataFrame, cosine: float, kind: int, out: tuple[list, list, list]) -> None:
@@ -196,8 +197,6 @@ def _links(part: pd.DataFrame, cosine: float, kind: int, out: tuple[list, list,
 
 def lattice_dedup(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id and kept."""
-    spark = vectors.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     sound = F.coalesce(F.col("label").isNotNull() & F.col("v").isNotNull() & sound, F.lit(False))
@@ -206,33 +205,31 @@ def lattice_dedup(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_i
     distinct = rows.where("key IS NOT NULL").groupBy("key").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("w"), F.min("vec_id").alias("least"))
     classes, _ = written(distinct, "vectors")
     given = classes.select("key", "label", "w", "v")
-    sizes = given.mapInPandas(_emit(False), "gid long, role int").groupBy("gid").agg(F.sum(F.expr("1 - role")).alias("owners"), F.sum("role").alias("probers"))
-    large, _ = written(sizes.where(f"greatest(owners, probers) > {BLOCK} AND owners > 0"), "cells", narrow=True)
-    large = large.select("gid", F.ceil(F.col("owners") / BLOCK).cast("int").alias("so"), F.ceil(F.col("probers") / BLOCK).cast("int").alias("sp"))
-    if large.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        large = F.broadcast(large)
-    wide = given.mapInPandas(_emit(True), "gid long, role int, t int, key string, label string, w long, v binary, dims int").join(large, "gid", "left")
-    wide = wide.withColumn("block", F.coalesce(F.expr("pmod(xxhash64(key), if(role = 0, so, sp))").cast("int"), F.lit(0)))
+    meets, meets_path = written(given.mapInPandas(_cells_of, "gid long, role int, t int, key string"), "cells")
+    sizes = meets.groupBy("gid").agg(F.sum(F.expr("1 - role")).alias("owners"), F.sum("role").alias("probers")).where("owners > 0 AND owners + probers > 1")
+    # cells of one vector go before any vector is moved
+    shared = meets.join(sizes.select("gid", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(s) for c, s in (("owners", "so"), ("probers", "sp"))]), "gid")
     tasks = F.expr("""
-        CASE WHEN so IS NULL THEN array(named_struct('i', 0, 'j', 0, 'kind', 2))
+        CASE WHEN so <= 1 AND sp <= 1 THEN array(named_struct('i', 0, 'j', 0, 'kind', 2))
              WHEN role = 0 THEN concat(transform(sequence(0, so - 1), x -> named_struct('i', least(x, block), 'j', greatest(x, block), 'kind', 0)),
                                        if(sp > 0, transform(sequence(0, sp - 1), x -> named_struct('i', block, 'j', x, 'kind', 1)), array()))
              ELSE transform(sequence(0, so - 1), x -> named_struct('i', x, 'j', block, 'kind', 1)) END""")
-    dealt = wide.select("gid", "role", "t", "key", "label", "w", "v", "dims", "block", F.explode(tasks).alias("task"))
-    dealt = dealt.select("*", "task.*", F.expr(f"pmod(xxhash64(gid, task.i, task.j, task.kind), {n})").cast("int").alias("bucket")).drop("task")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: tuple[list, list, list] = ([], [], [])
-        pdf = pdf.sort_values(["gid", "i", "j", "kind"], ignore_index=True)
-        mark = pdf[["gid", "i", "j", "kind"]].to_numpy()
-        at = np.concatenate([[0], np.flatnonzero((mark[1:] != mark[:-1]).any(1)) + 1, [len(pdf)]])
-        owners = np.concatenate([[0], np.cumsum(pdf["role"].to_numpy() == 0)])
-        for a, b in zip(at[:-1], at[1:]):
-            if b - a > 1 and owners[b] > owners[a]:
-                _links(pdf.iloc[a:b].reset_index(drop=True), cosine, int(mark[a, 3]), out)
-        return pd.DataFrame({"key": np.array(out[0], object), "n": np.array(out[1], np.int64), "root": np.array(out[2], object)})
-
-    links, _ = written(dealt.groupBy("bucket").applyInPandas(compare, "key string, n long, root string"), "links")
+    shared = shared.withColumn("block", F.expr("pmod(xxhash64(key), if(role = 0, so, sp))").cast("int"))
+    dealt = shared.select("gid", "role", "t", "key", "block", F.explode(tasks).alias("task")).select("gid", "role", "t", "key", "block", "task.*")
+    vectors_, vectors_path = written(given.mapInPandas(_packed, "key string, label string, w long, v binary, dims int"), "packed")
+    dealt = dealt.join(vectors_, "key").repartition("gid", "i", "j", "kind").sortWithinPartitions("gid", "i", "j", "kind", "key")
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in by_task(frames, ["gid", "i", "j", "kind"]):
+            out: tuple[list, list, list] = ([], [], [])
+            if len(part) > 1 and (part["role"] == 0).any():
+                _links(part.reset_index(drop=True), cosine, int(part["kind"].iloc[0]), out)
+            if out[0]:
+                yield pd.DataFrame({"key": np.array(out[0], object), "n": np.array(out[1], np.int64), "root": np.array(out[2], object)})
+
+    links, _ = written(dealt.mapInPandas(compare, "key string, n long, root string"), "links")
+    for path in (meets_path, vectors_path):
+        drop(classes.sparkSession, path)
     degrees = links.groupBy("key").agg(F.sum("n").alias("n"))
     roots, _ = components(links.select(F.col("key").alias("u"), F.col("root").alias("v")))
     named = classes.select("key", "w", "least").join(degrees, "key", "left").join(roots.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left")

@@ -14,7 +14,8 @@ vectors only the k + 1 smallest ids can be among the first k of any query, so no
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do empty ones; vectors of another
 length than the query's are no candidates; rows with the query's vec_id are its own and no candidates of it; a query's row that
 repeats is answered once; rows without vec_id are candidates that come after all others of their score, and no queries;
-scores beyond 64 bits are held at the limits of long; an empty table gives an empty result.
+components of which 64 times is beyond double are held at its limits, scores beyond 64 bits at the limits of long; the id 2^63 - 1 stands for none; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 PAGE, FAN, CANDIDATES, QUERIES = 256, 64, 8192, 4096
 NO_ID = np.iinfo(np.int64).max
+MOST = np.finfo(np.float64).max
 RANGE = (np.iinfo(np.int64).min, np.iinfo(np.int64).max)
 
 
@@ -49,6 +51,10 @@ class MTree:
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
         self.vectors, self.ids = vectors, ids
         square = (vectors * vectors).sum(1)
+        self.root = self.points = None
+        if not np.isfinite(square).all():  # distances are beyond double: every candidate is scored
+            self.points, self.top, self.exact, self.computed = vectors, np.inf, False, 0
+            return
         self.top = float(square.max())
         self.eps = 1e-6 * np.sqrt(self.top + 1)
         self.lifted = np.concatenate([vectors, np.sqrt(self.top - square)[:, None]], 1)
@@ -95,6 +101,12 @@ class MTree:
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best, best first, without rows of the id ``own``."""
         lifted, square = np.append(query, 0.0), float((query * query).sum())
+        if self.root is None or not np.isfinite(square):
+            other = self.ids != own
+            ids, scores = self.ids[other], self._scores(self.vectors[other], query)
+            self.computed += len(ids)
+            order = np.lexsort((ids, np.invert(scores)))[:k]  # the complement turns the order around, without overflow
+            return ids[order], scores[order]
         slack = 1e-9 * (square + self.top) + 1e-6
 
         def reach(worst: float) -> float:
@@ -126,7 +138,7 @@ class MTree:
             if not ok.any():
                 continue
             ids, scores = np.concatenate([ids, names[ok]]), np.concatenate([scores, got[ok]])
-            order = np.lexsort((ids, -scores))[:k]
+            order = np.lexsort((ids, np.invert(scores)))[:k]
             ids, scores = ids[order], scores[order]
             if len(ids) == k:
                 worst = int(scores[-1])
@@ -139,10 +151,10 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            raw = [np.floor(64.0 * np.asarray(v, np.float64)) + 0.0 for v in frame["v"]]
-            ok = [i for i, x in enumerate(raw) if np.isfinite(x).all()]
-            packed = [raw[i].tobytes() for i in ok]
-            yield pd.DataFrame({"vec_id": frame["vec_id"].iloc[ok].to_numpy(), "v": np.array(packed + [b""], object)[:-1], "dims": np.array([len(raw[i]) for i in ok], np.int32), "key": np.array([hashlib.md5(p).hexdigest() for p in packed] + [""], object)[:-1]})
+            with np.errstate(over="ignore"):
+                raw = [np.clip(np.floor(64.0 * np.asarray(v, np.float64)) + 0.0, -MOST, MOST) for v in frame["v"]]
+            packed = [x.tobytes() for x in raw]
+            yield pd.DataFrame({"vec_id": frame["vec_id"], "v": np.array(packed + [b""], object)[:-1], "dims": np.array([len(x) for x in raw], np.int32), "key": np.array([hashlib.md5(p).hexdigest() for p in packed] + [""], object)[:-1]})
 
     rows = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size("v") > 0)

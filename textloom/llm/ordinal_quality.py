@@ -142,7 +142,7 @@ def fit(docs: DataFrame, grades: DataFrame, n_grades: int, max_train: int = MAX_
 
 
 def score(docs: DataFrame, model: dict | None, n_grades: int, tail: int, text_col: str = "text", name: str = "quality") -> DataFrame:
-    """``docs`` with a struct ``name``: expected_grade and tail_prob."""
+    """``docs`` with a struct ``name``: expected_grade and tail_prob; a column of that name is replaced, others pass as they are."""
 
     @F.pandas_udf("struct<expected_grade: double, tail_prob: double>")
     def grade(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -23,7 +23,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, combinations
+from itertools import combinations
 from random import Random
 
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm.common import drop, written
+from textloom.llm.common import by_task, drop, written
 from textloom.llm.components import components
 
 SEED, BLOCK = 42, 1 << 16
@@ -192,21 +192,11 @@ def _forest(part: pd.DataFrame, least_similarity: float) -> list[tuple[bytes, by
 
 def _compared(dealt: DataFrame, least_similarity: float) -> DataFrame:
     """(u, v) links of each task's rows; a task's rows stand together, and memory holds one task and one batch."""
-    marks = ["value", "i", "j", "kind"]
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for frame in chain(frames, [None]):
-            if frame is not None:
-                rest = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            if rest is None or not len(rest):
-                continue
-            mark = rest[marks].to_numpy(np.int64)
-            at = [0, *(np.flatnonzero((mark[1:] != mark[:-1]).any(1)) + 1).tolist(), len(rest)]
-            done = len(at) - 1 if frame is None else len(at) - 2
-            found = [x for a, b in zip(at[:done], at[1:]) for x in (_forest(rest.iloc[a:b], least_similarity) if b - a > 1 else [])]
-            rest = rest.iloc[at[done] :].reset_index(drop=True)
-            yield pd.DataFrame({"u": np.array([*(x[0] for x in found), b""], object)[:-1], "v": np.array([*(x[1] for x in found), b""], object)[:-1]})
+        for part in by_task(frames, ["value", "i", "j", "kind"]):
+            if found := _forest(part, least_similarity) if len(part) > 1 else []:
+                yield pd.DataFrame(found, columns=["u", "v"])
 
     return dealt.mapInPandas(compare, "u binary, v binary")
 
@@ -261,7 +251,7 @@ def _verified(shared: DataFrame, sketches: DataFrame, least_similarity: float, b
         cut = cut.select("key", "value", "block", "main", F.explode(tasks).alias("t")).select("key", "value", "t.i", "t.j", "t.kind", "block", "main")
         dealt = dealt.unionByName(cut)
     dealt = dealt.join(sketches, "key").repartition("value", "i", "j", "kind").sortWithinPartitions("value", "i", "j", "kind", "key")
-    links, path = written(_compared(dealt, least_similarity), "links", narrow=True)
+    links, path = written(_compared(dealt, least_similarity), "links")
     roots, _ = components(links if roots is None else links.unionByName(roots))
     drop(spark, path)
     return roots
@@ -298,7 +288,7 @@ def near_copies(docs: DataFrame, words: int = 5, least_similarity: float = 0.8,
 
     bodies = docs.select(F.col(id_col).alias("doc_id"), _text_key(text_col).alias("own_key"), F.col(text_col).alias("text"))
     bodies = bodies.join(involved, F.expr("own_key = text_key AND doc_id <=> least")).dropDuplicates(["k"]).select("k", "text")
-    sketches, sets_path = written(bodies.mapInPandas(sets, "key binary, s binary"), "sets", narrow=True)
+    sketches, sets_path = written(bodies.mapInPandas(sets, "key binary, s binary"), "sets")
     roots = _verified(shared, sketches, least_similarity)
     drop(spark, shared_path)
     drop(spark, sets_path)
