@@ -82,7 +82,7 @@ def has_word(c: Column) -> Column:
 
 def shows_english(c: Column) -> Column:
     """The plain readers' test: two words side by side, or one of four letters and more."""
-    return c.rlike("[A-Za-z]{3,}") & (c.rlike("[A-Za-z]{2,}[ \\t][A-Za-z]{2,}") | c.rlike(r"\b[A-Za-z]{4,}\b"))
+    return c.rlike("[A-Za-z]{3,}") & (c.rlike("[A-Za-z]{2,}[ \\t][A-Za-z]{2,}") | c.rlike("(?<![A-Za-z0-9_])[A-Za-z]{4,}(?![A-Za-z0-9_])"))
 
 
 def is_url(c: Column) -> Column:
