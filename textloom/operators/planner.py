@@ -13,7 +13,7 @@ ROW = (
     "passage string, what string, unit_id string, reason string, detail string, from_text string, to_text string, all_sites boolean, raw_from string, anchored boolean, "
     "left_growth int, right_growth int, span_start int, span_end int, patch_start int, patch_end int, covers array<struct<start: int, end: int>>, covers_units array<string>, is_cluster boolean"
 )
-BUCKET_UNITS = 20_000
+BUCKET_PASSAGES = 2000
 _NAMES = [x.strip().split(" ")[0] for x in ROW.replace("array<struct<start: int, end: int>>", "a").split(",")]
 
 
@@ -53,8 +53,8 @@ def build_plan(units: DataFrame, passages: DataFrame, growth: int = pt.GROWTH, c
             out += [{"passage": p, "what": "failure", "unit_id": u, "reason": c} for c, u in pt.failures(content[p], made.entries)]
         return pd.DataFrame({n: pd.Series([r.get(n) for r in out], dtype=object) for n in _NAMES})
 
-    total = units.agg(F.count("*").alias("n")).first().n  # one number: buckets follow the units, so a call's frame stays small
-    n = max(8 * int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_UNITS))
+    total = passages.count()  # one number: buckets follow the passages, so a call's frame stays small
+    n = max(8 * int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_PASSAGES))
     bucket = F.pmod(F.xxhash64("passage"), F.lit(n)).alias("bucket")
     rows, texts = rows.select("*", bucket), texts.select("*", bucket)
     return rows.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInPandas(plan, ROW)

@@ -16,9 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan dealt out evenly before Python works on it: few large files would keep most cores idle."""
-    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism) if len(scan.inputFiles()) < scan.sparkSession.sparkContext.defaultParallelism else scan
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """A scan of fewer files than there are cores, dealt out before costly work on its rows; others stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *keys) if len(scan.inputFiles()) < cores else scan
 
 
 STEP = 64
@@ -32,7 +33,7 @@ def lines(docs: DataFrame) -> DataFrame:
     def total(sizes: Column) -> Column:
         return F.aggregate(sizes, zero, lambda a, x: a + x)
 
-    rows = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    rows = spread(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     rows = rows.withColumn("sizes", F.transform("lines", lambda x: F.length(x).cast("long") + 1))
     rows = rows.withColumn("steps", F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / STEP).cast("int")), lambda k: total(F.slice("sizes", k * STEP + 1, F.lit(STEP)))))
     rows = rows.withColumn("before", F.transform("steps", lambda x, k: total(F.slice("steps", F.lit(1), k))))
