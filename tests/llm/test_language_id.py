@@ -53,3 +53,8 @@ def test_edge_rows(spark):
     assert identify(df.limit(0), {}).count() == 0
     assert [r.h for r in df.select(held_out().alias("h")).collect()] == [zlib.crc32(b"1") % 4 == 2, False] + [zlib.crc32(b"3") % 4 == 2] * 2
     assert learn(df.limit(0).withColumn("lang", df.lang_pred)) == {}
+
+
+def test_a_column_named_like_the_result_is_replaced(spark):
+    df = spark.createDataFrame([(1, "123", "old", 7.0)], "doc_id long, text string, language string, score double")
+    assert identify(df, {}).select("language.lang_pred", "score").collect() == [("und", 7.0)]

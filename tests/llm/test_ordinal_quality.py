@@ -156,3 +156,8 @@ def test_query_on_held_out_labels(spark, monkeypatch):
     print(f"held out: {len(rows)} rows, toxic kept {np.mean([r.keep for r in toxic]):.3f}, clean kept {np.mean([r.keep for r in clean]):.3f}")
     assert np.mean([r.keep for r in toxic]) < 0.15 and np.mean([r.keep for r in clean]) > 0.9
     assert len(rows) > 500
+
+
+def test_a_column_named_like_the_result_is_replaced(spark):
+    df = spark.createDataFrame([(1, "a", "old", 7.0)], "doc_id long, text string, quality string, tail_prob double")
+    assert oq.score(df, None, 3, 2).select("quality.expected_grade", "tail_prob").collect() == [(1.0, 7.0)]

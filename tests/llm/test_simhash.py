@@ -81,3 +81,10 @@ def test_empty_table_and_null_ids(spark):
     assert simhash_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(None, "q w e r"), (4, "q w e r"), (None, "zz"), (4, "q w e r")], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in simhash_groups(df).collect()) == [(-1, -1), (-1, 4), (4, 4), (4, 4)]
+
+
+def test_columns_named_like_inner_ones_change_nothing(spark):
+    rows = [(1, "q w e r", 5, 6, "x"), (2, "q w e r", 6, 5, "y"), (3, "other words stand here", 5, 5, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp long, component_id long, fingerprint string")
+    out = simhash_groups(df)
+    assert out.columns == ["doc_id", "fingerprint", "component_id"] and sorted(r.component_id for r in out.collect()) == [1, 1, 3]
