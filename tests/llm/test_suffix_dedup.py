@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from textloom.llm.suffix_dedup import Batch, SuffixFamily, suffix_dedup
+from textloom.llm.suffix_dedup import Batch, SuffixFamily, _masks, suffix_dedup
 
 
 def brute(rows, length):
@@ -79,3 +79,33 @@ def test_runs_do_not_depend_on_the_order_of_rows(spark):
         assert got.names == want.names and got.raw == want.raw
         for name in ("ids", "owner", "begin", "count", "doc"):
             assert (getattr(got, name) == getattr(want, name)).all()
+
+
+def test_runs_that_repeat_in_a_batch_are_one_class_and_others_are_not():
+    """Classes are told by bytes, whatever their hashes; each stands at its first run."""
+    rng = random.Random(8)
+    part = [" ".join(rng.choices("alpha beta gamma delta".split(), k=40)) for _ in range(12)]
+    x = Batch(range(60), [rng.choice(part) + rng.choice(part) for _ in range(60)], 50, 26)
+    pick = np.array(rng.sample(range(len(x.begin)), len(x.begin)))
+    run = [x.data[b : b + c + 49].tobytes() for b, c in zip(x.begin[pick], x.count[pick])]
+    class_, firsts = x.classes(pick)
+    assert [run[i] for i in firsts[class_]] == run and len(firsts) == len(set(run)) < len(run)
+    assert (firsts[class_] <= np.arange(len(run))).all() and (np.diff(firsts) > 0).all()
+
+
+def test_only_windows_that_repeat_are_sorted_as_strings(monkeypatch):
+    """The time of a bucket goes into strings; a window that stands once in it needs none."""
+    rng = np.random.default_rng(9)
+    own, shared = rng.integers(0, 256, (200, 70), np.uint8), rng.integers(0, 256, 60, np.uint8)
+    text = np.concatenate([np.concatenate([x, shared, x[::-1]]) for x in own])
+    begin, count, docs = np.arange(0, len(text), 200), np.full(200, 31), np.arange(200)
+    begin = begin + 75 - 31 + 16  # 31 windows around the passage's start
+    sent, add = [], SuffixFamily.add
+    monkeypatch.setattr(SuffixFamily, "add", lambda self, keys, of: sent.append(len(keys)) or add(self, keys, of))
+    got = _masks(text, begin, count, docs, 50)
+    first = {}
+    for i, b in enumerate(begin):
+        for k in range(31):
+            first.setdefault(text[b + k : b + k + 50].tobytes(), i)
+    want = [sum(1 << k for k in range(31) if first[text[b + k : b + k + 50].tobytes()] < i) for i, b in enumerate(begin)]
+    assert got.tolist() == want and any(want) and sum(sent) < count.sum() / 2

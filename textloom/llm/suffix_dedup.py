@@ -9,10 +9,12 @@ How the work is laid out
 ``probe``    Every window of ``length`` bytes is owned by its minimiser: the smallest hash of the
              ``kgram``-byte strings in it.  A batch sends each distinct minimiser once, as packed 64-bit
              values, to the bucket that owns it; buckets answer with those that more than one batch sent.
-             Only windows under a shared minimiser can repeat, so only they travel any further.
+             Only windows under a shared minimiser can repeat, so only they travel any further.  Minimisers are named by
+             48 bits of their hash; two that share a name cost some more runs and change no answer.
 ``index``    A batch sends runs of consecutive windows under one shared minimiser, equal runs once, to the
              bucket of the minimiser.  In a bucket equal runs collapse to the smallest document (which
-             settles all their other copies); the rest, in order of document id, are taken in batches: each
+             settles all their other copies); of the rest, windows whose hash stands alone in the bucket repeat nowhere.
+             The others, in order of document id, are taken in batches: each
              gets a suffix array cut at ``length`` bytes, is merge-scanned against the levels that exist, and
              equal-sized levels merge geometrically.  Answers are bit masks of the windows of a run.
 ``answer``   Masks go back to the batches, which mark the covered bytes and hash what is left.
@@ -43,18 +45,19 @@ KGRAM = 26
 BATCH_WINDOWS = 1 << 16
 BUCKET_BYTES = 32 << 20
 NULL_ID = np.iinfo(np.int64).max
+NAME_BYTES = 6
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def _hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of the k bytes (k >= 8) that start at each position."""
+def _hashes(data: np.ndarray, k: int, begin: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of the k bytes (k >= 8) that start at each position, or at those of ``begin``."""
     n = len(data) - k + 1
     words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-    h = words[:n] * _M[0]
+    h = (words[:n] if begin is None else words[begin]) * _M[0]
     for i, at in enumerate([*range(8, k - 7, 8), k - 8]):
         h ^= h >> np.uint64(29 + i % 4)
-        h += words[at : at + n]
+        h += words[at : at + n] if begin is None else words[begin + at]
         h *= _M[1 + i % 3]
     h ^= h >> np.uint64(32)
     h *= _M[0]
@@ -71,6 +74,38 @@ def _window_min(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(h) - w + 1], m[w - size :]) if w > size else m
 
 
+def _distinct(h: np.ndarray) -> np.ndarray:
+    """The values in order, each once; sorting is faster here than the hash table of np.unique."""
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
+def _ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions begin, begin + 1, ... of each range, one range after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - sizes), sizes)
+
+
+def _covered(starts: np.ndarray, length: int) -> np.ndarray:
+    """Positions less than ``length`` after a start, by doubling."""
+    out, size = starts.copy(), 1
+    while size < length:
+        step = min(size, length - size)
+        out[step:] |= out[:-step].copy()
+        size += step
+    return out
+
+
+def _packed(names: np.ndarray) -> bytes:
+    return names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES].tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // NAME_BYTES, 8), np.uint8)
+    out[:, :NAME_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, NAME_BYTES)
+    return out.view("<u8").ravel()
+
+
 class Batch:
     """The texts of a batch, one after another, and their runs of windows under one minimiser."""
 
@@ -104,7 +139,7 @@ class Batch:
                 cut[a:b] = True
         at = np.flatnonzero(cut)
         run = np.diff(at)
-        begin, owner = at[:-1], m[at[:-1]]
+        begin, owner = at[:-1], m[at[:-1]] & np.uint64((1 << 8 * NAME_BYTES) - 1)
         doc = np.searchsorted(self.starts, begin, "right") - 1
         ok = begin + length <= self.starts[doc + 1]
         begin, run, owner, doc = begin[ok], run[ok], owner[ok], doc[ok]
@@ -125,6 +160,31 @@ class Batch:
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         return h[first][np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)]
 
+    def classes(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the class of each run of ``pick``, the place in ``pick`` of each class's first run): runs of a class are equal, and classes stand in the order
+        of their first runs.  Runs with equal hashes are compared with the first of them byte by byte; one that differs is a class of its own."""
+        begin, sizes = self.begin[pick], self.count[pick] + self.length - 1
+        if not len(pick):
+            return begin, begin
+        heads, tails = (_hashes(self.data, self.length, x) for x in (begin, begin + sizes - self.length))
+        mark, step = (heads * _M[1] ^ tails) * _M[2] + sizes.astype(np.uint64) + self.owner[pick] * _M[3], 1 << 14
+        order = np.argsort(mark, kind="stable")
+        head = np.concatenate([[True], mark[order][1:] != mark[order][:-1]])
+        first = np.empty(len(pick), np.int64)
+        first[order] = order[np.flatnonzero(head)][np.cumsum(head) - 1]
+        again = np.flatnonzero(first != np.arange(len(pick)))
+        for a in range(0, len(again), step):
+            part = again[a : a + step]
+            same = sizes[part] == sizes[first[part]]
+            first[part[~same]] = part[~same]
+            part = part[same]
+            if len(part):
+                differ = self.data[_ranges(begin[part], sizes[part])] != self.data[_ranges(begin[first[part]], sizes[part])]
+                other = part[np.logical_or.reduceat(differ, np.cumsum(sizes[part]) - sizes[part])]
+                first[other] = other
+        firsts = np.flatnonzero(first == np.arange(len(pick)))
+        return np.searchsorted(firsts, first), firsts
+
 
 def _buckets(h: np.ndarray, n: int) -> np.ndarray:
     return (h % np.uint64(n)).astype(np.int64)
@@ -182,22 +242,36 @@ class SuffixFamily:
         return found[group]
 
 
+def _repeated(text: np.ndarray, begin: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(run, position) of each window whose hash stands twice among those of all runs, in order; the others are unlike all."""
+    step = 1 << 17
+    n = len(text) - length + 1
+    every = np.empty(n, np.uint64)
+    for a in range(0, n, step):
+        every[a : a + step] = _hashes(text[a : a + step + length - 1], length)
+    at = _ranges(begin, count)
+    mine = every[at]
+    del every
+    h = np.sort(mine)
+    twice = np.concatenate([h[1:] == h[:-1], [False]])
+    h = _distinct(h[twice])
+    run = np.repeat(np.arange(len(begin)), count)
+    pick = np.flatnonzero(_in(mine, h))
+    return run[pick], at[pick]
+
+
 def _masks(text: np.ndarray, begin: np.ndarray, count: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
     """Masks of the windows that a smaller document also holds, for runs in order of document."""
     family, out = SuffixFamily(length), np.zeros(len(begin), np.uint32)
-    ends = np.cumsum(count)
-    a = 0
-    while a < len(begin):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BATCH_WINDOWS, "right")))
-        c = count[a:b]
-        run = np.repeat(np.arange(b - a), c)
-        nth = np.arange(len(run)) - np.repeat(np.cumsum(c) - c, c)
-        views = np.lib.stride_tricks.sliding_window_view(text, length)
-        keys = np.ascontiguousarray(views[begin[a:b][run] + nth]).view(family.kind).ravel()
-        least = family.add(keys, docs[a:b][run])
-        hit = least < docs[a:b][run]
-        np.bitwise_or.at(out, a + run[hit], np.uint32(1) << nth[hit].astype(np.uint32))
-        a = b
+    if not len(begin):
+        return out
+    views = np.lib.stride_tricks.sliding_window_view(text, length)
+    run, at = _repeated(text, begin, count, length)
+    for a in range(0, len(run), BATCH_WINDOWS):
+        r, p = run[a : a + BATCH_WINDOWS], at[a : a + BATCH_WINDOWS]
+        least = family.add(np.ascontiguousarray(views[p]).view(family.kind).ravel(), docs[r])
+        hit = least < docs[r]
+        np.bitwise_or.at(out, r[hit], np.uint32(1) << (p - begin[r])[hit].astype(np.uint32))
     return out
 
 
@@ -210,18 +284,18 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, id_c
     texts = texts.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(2 * n)).cast("int")).repartition(n, "batch")
 
     def probe(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        h = np.unique(Batch(pdf["doc_id"], pdf["text"], length, kgram).owner)
+        h = _distinct(Batch(pdf["doc_id"], pdf["text"], length, kgram).owner)
         of = _buckets(h, n)
         order = np.argsort(of, kind="stable")
         h, of = h[order], of[order]
-        rows = [(k, key[0], h[a:b].tobytes()) for k, a, b in _slices(of)]
+        rows = [(k, key[0], _packed(h[a:b])) for k, a, b in _slices(of)]
         return pd.DataFrame(rows, columns=["bucket", "batch", "hashes"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        each = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
+        each = [_unpacked(x) for x in pdf["hashes"]]
         h = np.sort(np.concatenate(each))
-        shared = np.unique(h[1:][h[1:] == h[:-1]])
-        rows = [(b, x[_in(x, shared)].tobytes()) for b, x in zip(pdf["batch"], each)]
+        shared = _distinct(h[1:][h[1:] == h[:-1]])
+        rows = [(b, _packed(x[_in(x, shared)])) for b, x in zip(pdf["batch"], each)]
         return pd.DataFrame([r for r in rows if r[1]], columns=["batch", "shared"])
 
     def runs(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -229,25 +303,20 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, id_c
         if not len(left):
             return pd.DataFrame([], columns=cols)
         x = Batch(left["doc_id"], left["text"], length, kgram)
-        shared = np.unique(np.concatenate([x.shared_here(), *(np.frombuffer(r, np.uint64) for r in right["shared"])]))
+        shared = _distinct(np.concatenate([x.shared_here(), *(_unpacked(r) for r in right["shared"])]))
         pick = np.flatnonzero(_in(x.owner, shared))
-        data, rows = x.data.tobytes(), []
+        rows = []
         of = _buckets(x.owner[pick], n)
         order = np.lexsort((x.ids[x.doc[pick]], of))
         pick, of = pick[order], of[order]
+        class_, firsts = x.classes(pick)
+        docs_, sizes, begin = x.ids[x.doc[pick[firsts]]], x.count[pick[firsts]] + length - 1, x.begin[pick[firsts]]
+        same = (x.ids[x.doc[pick]] == docs_[class_]).astype(np.uint8)
         for bucket, a, b in _slices(of):
-            seen: dict[bytes, int] = {}
-            texts_, class_, docs_ = [], [], []
-            for r in pick[a:b]:
-                s = data[x.begin[r] : x.begin[r] + x.count[r] + length - 1]
-                if (c := seen.setdefault(s, len(seen))) == len(texts_):
-                    texts_.append(s)
-                    docs_.append(x.ids[x.doc[r]])
-                class_.append(c)
-            same = (x.ids[x.doc[pick[a:b]]] == np.array(docs_, np.int64)[class_]).astype(np.uint8)
-            head = np.array([len(texts_), b - a], np.uint32)
-            parts = [head, np.array(docs_, np.int64), np.array([len(t) for t in texts_], np.uint16), np.array(class_, np.uint32), pick[a:b].astype(np.uint32), same]
-            rows.append((bucket, key[0], zstandard.compress(b"".join([*(p.tobytes() for p in parts), *texts_]), 1)))
+            p, q = np.searchsorted(firsts, [a, b])  # equal runs have one owner, so one bucket
+            head = np.array([q - p, b - a], np.uint32)
+            parts = [head, docs_[p:q], sizes[p:q].astype(np.uint16), (class_[a:b] - p).astype(np.uint32), pick[a:b].astype(np.uint32), same[a:b], x.data[_ranges(begin[p:q], sizes[p:q])]]
+            rows.append((bucket, key[0], zstandard.compress(b"".join(v.tobytes() for v in parts), 1)))
         return pd.DataFrame(rows, columns=cols)
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -282,15 +351,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, id_c
 
     def answer(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         x = Batch(left["doc_id"], left["text"], length, kgram)
-        edge = np.zeros(len(x.data) + 1, np.int32)
+        starts = np.zeros(len(x.data), bool)
         for blob in right["masks"]:
             nth, mask = np.frombuffer(blob, np.uint32).reshape(2, -1)
             bits = (mask[:, None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1)
             bits = bits.astype(bool) & (np.arange(32) < x.count[nth][:, None])
-            at = (x.begin[nth][:, None] + np.arange(32))[bits]
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + length, -1)
-        gone = np.cumsum(edge[:-1]) > 0
+            starts[(x.begin[nth][:, None] + np.arange(32))[bits]] = True
+        gone = _covered(starts, length)
         rows = []
         for i, raw, s, e in zip(x.names, x.raw, x.starts[:-1], x.starts[1:]):
             g = gone[s:e]
