@@ -50,7 +50,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more.
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more, by SimHash groups and, beyond their reach, MinHash bands.
 
     The least id of a group stays, null ids last; of rows with the same id and text one stays.  A null text counts as empty.
     """

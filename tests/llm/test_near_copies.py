@@ -1,7 +1,9 @@
 import random
 from itertools import combinations
 
-from textloom.llm.simhash import near_copies, shingle_set, similarity
+import numpy as np
+
+from textloom.llm.simhash import near_copies, shingle_set, simhash, similarity
 
 
 def words(rng, n):
@@ -122,3 +124,37 @@ def test_hubs_of_components_do_not_change_them(spark, monkeypatch):
     monkeypatch.setattr(co, "HUBS", 20)
     assert {tuple(r) for r in co.components(edges)[0].collect()} == want
     assert {u for u, v in want if v == 0} == {*range(1, 400), 950, 951}
+
+
+def slight_copies(rng, n):
+    """Pairs so near that their fingerprints lie within two bits."""
+    pairs = []
+    while len(pairs) < n:
+        own = words(rng, 400)
+        copy = [*own, *words(rng, 1)]
+        if (simhash(" ".join(own), 5) ^ simhash(" ".join(copy), 5)).bit_count() <= 2:
+            pairs.append((own, copy))
+    return pairs
+
+
+def test_fingerprints_alone_find_the_copies_in_their_reach(spark, monkeypatch):
+    """The named method is a step of its own: without any band, texts meet by their fingerprints, and the exact similarity decides."""
+    import textloom.llm.simhash as sh
+
+    rng = random.Random(31)
+    pairs, passage = slight_copies(rng, 30), words(rng, 5) * 400
+    pairs += [(own, own + words(rng, 2)) for own in (passage + words(rng, 100) for _ in range(10))]  # alike by fingerprint, unlike by their sets
+    monkeypatch.setattr(sh, "min_hashes", lambda hashes: np.zeros(0, np.int64))
+    assert copies_left(spark, pairs) == 0
+
+
+def test_bands_that_fingerprints_have_settled_are_closed(spark, monkeypatch):
+    import textloom.llm.simhash as sh
+
+    rng, real, seen = random.Random(32), sh._verified, []
+    pairs = slight_copies(rng, 20)
+    monkeypatch.setattr(sh, "_verified", lambda shared, sketches, least: seen.append(shared.select("key").distinct().count()) or real(shared, sketches, least))
+    assert copies_left(spark, pairs) == 0
+    base = words(rng, 200)
+    assert copies_left(spark, pairs + [(base, base[:180] + words(rng, 15))]) == 0  # far beyond two bits: a band's part
+    assert seen == [40, 0, 40, 2]

@@ -10,10 +10,12 @@ order of a value's fingerprints are compared, and those within ``bits`` become l
 of one value are all within 2 of each other, at most 65 of them, so links of neighbours lose nothing of a group;
 for more bits all pairs under a value are verified.  Copies share a fingerprint and are one row throughout.
 
-``near_copies`` is for a similarity of shingle sets, which fingerprints of 64 bits can't tell: at Jaccard similarity 0.8 they lie 9 bits
-apart on average, far beyond a ball that could be hashed.  Texts meet by MinHash there: BANDS bands of ROWS least values of their distinct
-``words``-word shingles.  A pair at similarity s misses all bands with probability (1 - s^ROWS)^BANDS: 0.000005 at 0.8, less above.  All that meet are
-verified by the exact similarity, in tasks that hold the sets of a bucket, unless they are in one component already.  Texts with equal sets are one node throughout.
+``near_copies`` wants a similarity of shingle sets.  Its fingerprints are grouped by the same ball hashing, and all texts of a group are compared by
+their exact similarity, which settles the nearest copies.  At Jaccard similarity 0.8, 64-bit fingerprints lie 9 bits apart on average, far beyond a
+ball that could be hashed, so what the fingerprints leave apart has a second, whole way: BANDS bands of ROWS least values (MinHash) of the distinct
+``words``-word shingles.  A pair at similarity s misses all bands with probability (1 - s^ROWS)^BANDS: 0.000005 at 0.8, less above.  Bands whose texts
+are all in one component by then are closed; all that meet in the others are verified, in tasks that hold the sets of a bucket.  Texts with equal
+sets are one node throughout.
 
 Defined results: null texts count as empty; documents without words link with each other; rows that repeat a doc_id give
 a row each; a null doc_id is never a component's id unless all ids of the component are null; an empty
@@ -44,23 +46,34 @@ FACTORS = np.array([[_rng.getrandbits(32) | 1] for _ in range(BANDS * ROWS)], np
 TERMS = np.array([[_rng.getrandbits(32)] for _ in range(BANDS * ROWS)], np.uint32)
 
 
-def simhash(text: str | None, words: int) -> int:
-    """The fingerprint, unsigned."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The shingles' XXH64 values, repeats included; none without words."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.split cuts at \x20 and \x09-\x0D
     if not found:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(found)
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(sizes + 1) - 1
     k = min(words, len(found))
     start, end = (ends - sizes)[: len(found) - k + 1], ends[k - 1 :]
-    ones = np.zeros(64, np.int64)
-    xxh = xxhash.xxh64_intdigest
+    xxh, out = xxhash.xxh64_intdigest, np.empty(len(start), "<u8")
     for a in range(0, len(start), BLOCK):
         s, e = start[a : a + BLOCK].tolist(), end[a : a + BLOCK].tolist()
-        h = np.fromiter((xxh(joined[i:j], SEED) for i, j in zip(s, e)), "<u8", len(s))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return sum(1 << b for b in range(64) if 2 * ones[b] > len(start))
+        out[a : a + BLOCK] = np.fromiter((xxh(joined[i:j], SEED) for i, j in zip(s, e)), "<u8", len(s))
+    return out
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles with these hashes, unsigned."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), BLOCK):
+        ones += np.unpackbits(hashes[a : a + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return sum(1 << b for b in range(64) if 2 * ones[b] > len(hashes))
+
+
+def simhash(text: str | None, words: int) -> int:
+    """The fingerprint, unsigned."""
+    return majority(shingle_hashes(text, words))
 
 
 def with_fingerprint(docs: DataFrame, words: int, text_col: str = "text", name: str = "fp") -> DataFrame:
@@ -103,12 +116,15 @@ def simhash_groups(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str =
     return own.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """The low 32 bits of the hashes, in order, each once."""
+    low = np.sort(hashes.astype("<u4"))
+    return low[np.concatenate([[True], low[1:] != low[:-1]])] if len(low) else low
+
+
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """The distinct 32-bit hashes of the shingles, in order; empty without words."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    k = min(words, len(found))
-    hashes = {xxhash.xxh32_intdigest(b" ".join(found[i : i + k])) for i in range(len(found) - k + 1)} if found else set()
-    return np.array(sorted(hashes), "<u4")
+    return distinct(shingle_hashes(text, words))
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -257,29 +273,46 @@ def _verified(shared: DataFrame, sketches: DataFrame, least_similarity: float, b
     return roots
 
 
-def near_copies(docs: DataFrame, words: int = 5, least_similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _unsettled(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of the buckets whose keys are not all in one component."""
+    rooted = shared.join(roots.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left").select("value", F.coalesce("root", "key").alias("root"))
+    return shared.join(rooted.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high"), "value", "left_semi")
+
+
+def near_copies(docs: DataFrame, words: int = 5, least_similarity: float = 0.8, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each group of linked texts the document with the least id stays.
 
-    Texts are linked if they are equal or if they meet in a band and their shingle sets are at least this similar.
+    Texts are linked if they are equal or if their shingle sets are at least this similar and they meet: in a group of fingerprints, linked at ``bits`` or
+    fewer bits, or in a band.
     Rows without an id stay only where their group has no id at all.
     """
 
     spark = docs.sparkSession
 
-    @F.pandas_udf("struct<own: binary, bands: array<long>>")
+    @F.pandas_udf("struct<own: binary, fp: long, bands: array<long>>")
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
-            found = [shingle_set(x, words) for x in part]
-            own = [xxhash.xxh3_128_digest(x.tobytes()) for x in found]
-            yield pd.DataFrame({"own": own, "bands": [min_hashes(x) for x in found]})
+            own, prints, bands = [], [], []
+            for text in part:
+                hashes = shingle_hashes(text, words)
+                prints.append(majority(hashes))
+                own.append(xxhash.xxh3_128_digest((found := distinct(hashes)).tobytes()))
+                bands.append(min_hashes(found))
+            yield pd.DataFrame({"own": own, "fp": np.array(prints, np.uint64).view(np.int64), "bands": bands})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", _text_key("text").alias("text_key"), sketch("text").alias("x"))
-    rows, rows_path = written(rows.select("doc_id", "text_key", F.col("x.own").alias("key"), F.col("x.bands").alias("bands")), "sketches")
+    rows, rows_path = written(rows.select("doc_id", "text_key", F.col("x.own").alias("key"), F.col("x.fp").alias("fp"), F.col("x.bands").alias("bands")), "sketches")
     texts = rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("least"), F.col("text_key").alias("text_key"))).alias("best"), F.first("bands").alias("bands"))
     texts, _ = written(texts, "texts", narrow=True)
+    prints, prints_path = written(rows.select("key", "fp").distinct(), "fingerprints", narrow=True)  # repeats count, so texts of one set may have several
     drop(spark, rows_path)
+    near, near_path = components(fingerprint_links(prints.select("fp").distinct(), bits))
+    groups = prints.join(near.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("key", F.coalesce("root", "fp").alias("value")).distinct()
+    groups, groups_path = written(_shared(groups), "groups", narrow=True)
     shared, shared_path = written(_shared(texts.select("key", F.explode("bands").alias("value"))), "values", narrow=True)
-    involved = shared.select("key").distinct().join(texts.select("key", "best"), "key").select(F.col("key").alias("k"), "best.least", "best.text_key")
+    for path in (prints_path, near_path):
+        drop(spark, path)
+    involved = shared.select("key").unionByName(groups.select("key")).distinct().join(texts.select("key", "best"), "key").select(F.col("key").alias("k"), "best.least", "best.text_key")
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -289,9 +322,11 @@ def near_copies(docs: DataFrame, words: int = 5, least_similarity: float = 0.8,
     bodies = docs.select(F.col(id_col).alias("doc_id"), _text_key(text_col).alias("own_key"), F.col(text_col).alias("text"))
     bodies = bodies.join(involved, F.expr("own_key = text_key AND doc_id <=> least")).dropDuplicates(["k"]).select("k", "text")
     sketches, sets_path = written(bodies.mapInPandas(sets, "key binary, s binary"), "sets")
-    roots = _verified(shared, sketches, least_similarity)
-    drop(spark, shared_path)
-    drop(spark, sets_path)
+    roots = _verified(groups, sketches, least_similarity)
+    rest = _verified(_unsettled(shared, roots), sketches, least_similarity)
+    roots, _ = components(roots.unionByName(rest))
+    for path in (groups_path, shared_path, sets_path):
+        drop(spark, path)
     rooted = texts.select("key", "best").join(roots.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left").select("best", F.coalesce("root", "key").alias("root"))
     best = rooted.groupBy("root").agg(F.min("best").alias("best"))
     stay = best.select(F.col("best.text_key").alias("__near_key"), F.col("best.least").alias("__near_id"))
