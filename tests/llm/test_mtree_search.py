@@ -103,3 +103,16 @@ def test_components_beyond_double_and_long_vectors(spark):
     whole = np.floor(64 * long).astype(np.int64)
     want = sorted(((int(whole[0] @ whole[j]), j) for j in range(1, 6)), key=lambda x: (-x[0], x[1]))
     assert [(r.score, r.vec_id) for r in mtree_search(df, F.col("vec_id") == 0, k=5).orderBy("rank").collect()] == want
+
+
+def test_queries_side_by_side_find_what_each_finds_alone():
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((30, 16)) * 40
+    for x in (np.floor(centres[rng.integers(0, 30, 3000)] + rng.standard_normal((3000, 16))), np.floor(rng.standard_normal((3000, 16)) * 3)):
+        tree = MTree(x, np.arange(3000))
+        asked = np.concatenate([x[::50], x[:1] * 1e200])
+        own = np.append(np.arange(0, 3000, 50), 7)
+        of, ids, scores = tree.search_all(asked, own, 20)
+        for n, q in enumerate(asked):
+            want_ids, want_scores = tree.search(q, int(own[n]), 20)
+            assert ids[of == n].tolist() == want_ids.tolist() and scores[of == n].tolist() == want_scores.tolist()

@@ -5,7 +5,8 @@ that lifts all candidates of a tree to one norm, a larger score is a smaller Euc
 answers the search exactly.  A node is a page of at most ``PAGE`` entries; each entry keeps its covering radius and its
 distance to the page's own centre.  The search takes pages in the order of the best score they could hold, stops when that is
 below the k-th best found, and leaves out entries by the stored distances and the triangle inequality before any distance to
-them is computed.  Bounds are widened by a margin above their rounding errors; scores are exact integers.
+them is computed.  The queries of a block go side by side: in each round every query takes the next page of its own order, and those that take the same
+page share one product of matrices.  Bounds are widened by a margin above their rounding errors; scores are exact integers.
 
 Candidates are dealt into blocks of about ``CANDIDATES`` rows and queries into blocks of about ``QUERIES``; each pair of
 blocks is a task, and a query's best of each block meet in a window that keeps k in each task before it shuffles.  Of equal
@@ -145,6 +146,73 @@ class MTree:
                 limit = reach(worst)
         return ids, scores
 
+    def search_all(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the query, ids, scores) of what ``search`` finds for each query; each takes pages in its own order, those on one page together."""
+        square = (queries * queries).sum(1)
+        most = queries.shape[1] * np.abs(queries).max(1) * np.sqrt(self.top)
+        plain = np.isfinite(square) & (most < (2**24 if self.points.dtype == np.float32 else 2**53)) if self.root is not None and self.exact else np.zeros(len(queries), bool)
+        out = []
+        for i in np.flatnonzero(~plain):
+            ids, scores = self.search(queries[i], int(own[i]), k)
+            out.append((np.full(len(ids), i), ids, scores))
+        at = np.flatnonzero(plain)
+        if len(at):
+            out.append(self._together(queries[at], own[at], square[at], k))
+            out[-1] = (at[out[-1][0]], *out[-1][1:])
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def _together(self, queries: np.ndarray, own: np.ndarray, square: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pages, children = [self.root], {}
+        for n, page in enumerate(pages):  # grows while it is read
+            children[n] = range(len(pages), len(pages) + len(page.pages or []))
+            pages.extend(page.pages or [])
+        n_q = len(queries)
+        lifted, points = np.concatenate([queries, np.zeros((n_q, 1))], 1), queries.astype(self.points.dtype)
+        slack = 1e-9 * (square + self.top) + 1e-6
+        nearest, distance = np.full((n_q, len(pages)), np.inf), np.zeros((n_q, len(pages)))
+        nearest[:, 0], distance[:, 0] = 0, np.sqrt(((lifted - self.centre) ** 2).sum(1))
+        limit, worst = np.full(n_q, np.inf), np.full(n_q, -np.inf)
+        of, ids, scores = (np.zeros(0, np.int64) for _ in range(3))
+        open_ = np.arange(n_q)
+        while len(open_):
+            taken = nearest[open_].argmin(1)
+            bound = nearest[open_, taken]
+            go = (bound <= limit[open_]) & np.isfinite(bound)
+            open_, taken = open_[go], taken[go]
+            new = []
+            for n in np.unique(taken):
+                g, page = open_[taken == n], pages[n]
+                to_own = np.abs(page.to_centre[None, :] - distance[g, n][:, None])
+                nearest[g, n] = np.inf
+                if page.pages is not None:
+                    self.computed += len(g) * len(page.pages)
+                    for i, child in enumerate(children[n]):
+                        d = np.sqrt(((lifted[g] - page.centres[i]) ** 2).sum(1))
+                        least = np.maximum(d, to_own[:, i]) - page.radii[i]
+                        nearest[g, child], distance[g, child] = np.where(least <= limit[g], least, np.inf), d
+                    continue
+                got = points[g] @ page.points.T
+                near = to_own <= limit[g][:, None]
+                self.computed += int(near.sum())
+                got[~near | (page.ids[None, :] == own[g][:, None]) | (got < worst[g][:, None])] = -np.inf
+                if got.shape[1] > k:
+                    got[got < np.partition(got, got.shape[1] - k, 1)[:, got.shape[1] - k][:, None]] = -np.inf
+                row, column = np.nonzero(got > -np.inf)
+                new.append((g[row], page.ids[column], got[row, column].astype(np.int64)))
+            if new:
+                of, ids, scores = (np.concatenate([a, *b]) for a, b in zip((of, ids, scores), zip(*new)))
+                order = np.lexsort((ids, np.invert(scores), of))
+                of, ids, scores = of[order], ids[order], scores[order]
+                first = np.searchsorted(of, np.arange(n_q))
+                kept = np.arange(len(of)) - first[of] < k
+                of, ids, scores = of[kept], ids[kept], scores[kept]
+                last = np.searchsorted(of, np.arange(n_q), "right") - 1
+                full = np.flatnonzero(np.bincount(of, minlength=n_q) == k)
+                worst[full] = scores[last[full]]
+                rest = square[full] + self.top + 2 * slack[full] - 2 * worst[full]
+                limit[full] = np.where(rest >= 0, np.sqrt(np.maximum(rest, 0)) + self.eps, -1.0)
+        return of, ids, scores
+
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v, dims, key): floor(64 x) as packed doubles and a digest of them, of the rows that take part."""
@@ -181,10 +249,10 @@ def mtree_search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "
             of = of.sort_values("vec_id")
             unpack = lambda f: np.frombuffer(b"".join(f["v"]), np.float64).reshape(len(f), -1)
             tree = MTree(unpack(of), of["vec_id"].to_numpy(np.int64))
-            for i, v in zip(queries["vec_id"], unpack(queries)):
-                ids, scores = tree.search(v, int(i), k)
-                for c, x in zip(cols, (np.full(len(ids), i, np.int64), ids, scores)):
-                    c.append(x)
+            own = queries["vec_id"].to_numpy(np.int64)
+            of_query, ids, scores = tree.search_all(unpack(queries), own, k)
+            for c, x in zip(cols, (own[of_query], ids, scores)):
+                c.append(x)
         return pd.DataFrame({n: np.concatenate(c) for n, c in zip(("query_id", "vec_id", "score"), cols)})
 
     left, right = left.repartition(n_c * n_q, "task"), right.repartition(n_c * n_q, "task")  # tasks of a few megabytes that compute for long
