@@ -259,3 +259,15 @@ def test_bag_deltas_and_equal_signatures(spark):
     pairs = spark.createDataFrame([("m", "n"), ("m", "o"), ("m", "z"), ("z", "z"), (None, "m")], "a string, b string")
     for most in (0, 10):
         assert {(r.a, r.b): r.same for r in tk.equivalent(signs, pairs, most).collect()} == {("m", "n"): True, ("m", "o"): False, ("m", "z"): False, ("z", "z"): False, (None, "m"): False}
+
+
+def test_valid_units_of_a_text_that_repeats_itself_are_all_planned(spark, tmp_path):
+    from tests.oracle import check
+    from textloom.plans.queries import ORACLES, QUERIES
+
+    words = " ".join(f"word{chr(97 + n % 26)}{chr(97 + n // 26)}" for n in range(60)) + ".\n" + " ".join(f"tail{chr(97 + n)}" for n in range(20))
+    docs = [(1, " ".join([words] * 5), "en", "web", 0), (2, "one line\nand another", "en", "web", 0), (3, " ".join([words] * 40), "en", "web", 0)]
+    for name, rows, kind in (("documents", docs, "doc_id long, text string, lang string, source string, n_chars long"), ("labels", [(n, 1, 0) for n in (1, 2, 3)], "doc_id long, quality int, toxic int"), ("benchmark", [(0, "x")], "item_id long, text string")):
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("plan_totals", "plan_coverage"):
+        check(spark, str(tmp_path), QUERIES[name], ORACLES[name])

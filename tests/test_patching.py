@@ -43,3 +43,17 @@ def test_random_passages_replay_exactly():
         want = pt.exchange(text, [(u["start_offset"], u["end_offset"], u["to"]) for u in units if u["unit_id"] in placed])
         assert pt.replay(text, plan.entries) == want
         assert placed | {u for u, _, _ in plan.skipped} == {u["unit_id"] for u in units}
+
+
+def test_a_text_that_repeats_itself_is_one_entry_if_that_is_allowed():
+    rng = random.Random(5)
+    words = " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(30)) + ".\n" + " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(20))
+    for times in (5, 40):  # the second is longer than a cluster may grow
+        text, units, at = " ".join([words] * times), [], 0
+        for line in text.split("\n"):
+            units.append(unit(len(units), "", at, line, line + " zz"))
+            at += len(line) + 1
+        assert pt.plan_passage(text, units).entries == [] or any(r == "patch-conflict-multi-site" for _, r, _ in pt.plan_passage(text, units).skipped)
+        plan = pt.plan_passage(text, units, whole=True)
+        assert set(plan.covered) == {u["unit_id"] for u in units} == {u for e in plan.entries for u in e.units}
+        assert pt.replay(text, plan.entries) == "\n".join(line + " zz" for line in text.split("\n")) and pt.failures(text, plan.entries) == []

@@ -401,7 +401,7 @@ def build_plan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), "doc_id").alias("name"), F.col("text").alias("content"))
     valid = own_states(spark, sf_dir).where("state = 'translated-valid' AND NOT identity").select("unit_id")
     live = u.join(valid, "unit_id").join(records(spark, sf_dir, u).select("unit_id", "translation"), "unit_id")
-    return pl.build_plan(live, docs)
+    return pl.build_plan(live, docs, whole=True)  # texts that repeat themselves have sites that no lesser entry can hold
 
 
 @query()
