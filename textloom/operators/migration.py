@@ -53,22 +53,24 @@ def validate_entries(entries: DataFrame, passages: DataFrame) -> DataFrame:
     by_id, by_site = Window.partitionBy(F.coalesce("id", F.concat(F.lit("\0"), F.col("ord").cast("string")))).orderBy("ord"), Window.partitionBy("passage", "from_text").orderBy("ord")
     e = entries.withColumn("nth_id", F.row_number().over(by_id)).withColumn("nth_site", F.row_number().over(by_site)).join(names, "passage", "left")
     missing = F.when(F.coalesce("passage", F.lit("")) == "", "missing-passage").when(F.coalesce("from_text", F.lit("")) == "", "missing-from").when(F.coalesce("to_text", F.lit("")) == "", "missing-to")
-    n = tc.occurrences(F.col("content"), F.col("from_text"))
+    # counted once a row, and before Python reads the row, which would be copied with the passage in it
+    e = e.select(*entries.columns, "nth_id", "nth_site", F.col("content").isNotNull().alias("known"), tc.occurrences(F.col("content"), F.col("from_text")).alias("n"), (F.instr(F.col("content"), F.col("from_text")) - 1).alias("first"))
+    n, known = F.col("n"), F.col("known")
     allowed = F.transform(F.coalesce("allow", F.array().cast("array<struct<code: string, reason: string>>")), lambda a: a["code"])
-    live = missing.isNull() & F.col("content").isNotNull() & (n > 0)
+    live = missing.isNull() & known & (n > 0)
     found = F.filter(tc.tiers(F.when(live, F.col("from_text")), F.when(live, F.col("to_text"))), lambda f: f["tier"].isin("hard", "structural") & ~F.array_contains(allowed, f["code"]))
     errors = F.concat(
         F.array(
             F.when(F.col("id").isNotNull() & (F.col("nth_id") > 1), "duplicate-id"), missing,
             F.when(missing.isNull() & (F.col("nth_site") > 1), "duplicate-passage-from"),
-            F.when(missing.isNull() & F.col("content").isNull(), "passage-not-found"),
+            F.when(missing.isNull() & ~known, "passage-not-found"),
             F.when(missing.isNull() & (n == 0), "from-not-found"),
             F.when(live & (n > 1) & ~F.coalesce("all_sites", F.lit(False)), "occurs-more-than-once"),
             F.when(F.exists(F.coalesce("allow", F.array().cast("array<struct<code: string, reason: string>>")), lambda a: (F.coalesce(a["code"], F.lit("")) == "") | (F.coalesce(a["reason"], F.lit("")) == "")), "allow-incomplete"),
         ),
         F.when(live, F.transform(found, lambda f: F.concat(F.lit("protection-"), f["code"]))).otherwise(F.array().cast("array<string>")),
     )
-    return e.select("ord", "id", "passage", "from_text", "to_text", F.when(live, n).alias("occurrences"), F.when(live, F.instr(F.col("content"), F.col("from_text")) - 1).alias("first_pos"), F.filter(errors, lambda x: x.isNotNull()).alias("errors"))
+    return e.select("ord", "id", "passage", "from_text", "to_text", F.when(live, n).alias("occurrences"), F.when(live, F.col("first")).alias("first_pos"), F.filter(errors, lambda x: x.isNotNull()).alias("errors"))
 
 
 def canonical_body(c: Column) -> Column:
