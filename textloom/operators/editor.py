@@ -11,7 +11,7 @@ ISSUE = "array<struct<severity: string, code: string>>"
 
 
 def filled(c: Column) -> Column:
-    return F.length(tc.fold(F.coalesce(c, F.lit("")))) > 0
+    return ~tc.is_blank(F.coalesce(c, F.lit("")))
 
 
 def placeholder_issue(source: Column, target: Column) -> Column:
