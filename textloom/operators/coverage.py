@@ -23,11 +23,11 @@ def classify_coverage(units: DataFrame, records: DataFrame) -> DataFrame:
     both = u.join(r, "unit_id", "full_outer")
     here, there = F.col("in_units").isNotNull(), F.col("in_records").isNotNull()
     moved = here & there & F.col("source_fingerprint").isNotNull() & (F.col("source_fingerprint") != tc.source_fingerprint(F.col("protected_text")))
-    live = here & there & ~F.coalesce(moved, F.lit(False))
+    both, live = both.withColumn("live", here & there & ~F.coalesce(moved, F.lit(False))), F.col("live")
     checked = both.withColumn("codes", F.when(live, F.array_distinct(F.transform(tc.verify(F.col("raw_text"), F.col("translation"), F.col("context"), F.col("protected_text"), F.col("protected_translation"), F.col("placeholders")), lambda f: f["code"]))))
-    identity = here & ~there & tc.is_identity(F.col("raw_text"))
+    checked, identity = checked.withColumn("identity", here & ~there & tc.is_identity(F.col("raw_text"))), F.col("identity")
     state = F.when(~here, "obsolete").when(identity, "translated-valid").when(~there, "untranslated").when(~live, "superseded").when(F.size("codes") > 0, "rejected-structure").otherwise("translated-valid")
-    return checked.select("unit_id", F.coalesce("u_passage", "r_passage").alias("passage"), state.alias("state"), identity.alias("identity"), "codes")
+    return checked.select("unit_id", F.coalesce("u_passage", "r_passage").alias("passage"), state.alias("state"), "identity", "codes")
 
 
 def mark_unresolved(states: DataFrame, unresolved: DataFrame) -> DataFrame:
