@@ -149,3 +149,16 @@ def test_a_pack_is_written_only_if_its_plan_is_sound(spark, tmp_path):
     bad = good.unionByName(spark.createDataFrame([tuple((row | {"what": "failure", "reason": "NO_OP"})[n] for n in pl._NAMES)], pl.ROW))
     assert [tuple(r) for r in ar.patch_pack(bad, str(tmp_path / "bad")).collect()] == [("NO_OP", 1)] and not (tmp_path / "bad").exists()
     assert ar.patch_pack(good, str(tmp_path / "good")).count() == 0 and spark.read.json(str(tmp_path / "good")).first()["passageName"] == "P"
+
+
+def test_kits_go_into_their_folder_without_the_driver(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *_: pytest.fail("archives at the driver"))
+    columns = [F.lit("x").alias(c) for c in rec.SEGMENT_COLUMNS if c not in ("unitId", "placeholders")]
+    rows = spark.range(7).select(F.col("id").cast("string").alias("unitId"), F.array().cast("array<struct<token: string, type: string, raw: string>>").alias("placeholders"), *columns, (F.col("id") / 3).cast("int").alias("chunk"), F.concat(F.lit("k"), (F.col("id") / 3).cast("int"), F.lit(".zip")).alias("filename"), F.col("id").alias("row_index"))
+    for folder in (str(tmp_path / "plain"), f"file:{tmp_path}/uri"):
+        done = ar.write_kits(rows, folder, {}).collect()
+        made = sorted(p.name for p in (tmp_path / folder.rsplit("/", 1)[1]).iterdir())
+        assert made == ["k0.zip", "k1.zip", "k2.zip"] == sorted(r.filename for r in done) and "data" not in done[0].asDict()
+        assert sorted(r.unit_id for r in ar.read_kits(spark, folder).where("part = 'csv'").collect()) == [str(n) for n in range(7)]
