@@ -45,3 +45,31 @@ def test_short_ways_of_text_rules_give_what_the_long_ones_give(spark):
     for name, (short, want) in pairs.items():
         odd = made.where(~short.eqNullSafe(want)).collect()
         assert not odd, (name, odd[:3])
+
+
+def test_scans_hold_pieces_of_a_batch(spark, monkeypatch):
+    """Pages with many tokens come back in many small batches, whatever the size of Spark's, and all of them come back."""
+    import pandas as pd
+
+    from textloom.functions.batches import PIECE, pieces
+    from textloom.operators import tokens as tk
+
+    text = "<b>word</b> " * 1000
+    frame = pd.DataFrame({"k": range(300), "__text": [text, None, ""] * 100})
+    made = list(pieces([frame], "__text"))
+    assert max(x["__text"].map(lambda t: len(t or "")).sum() for x in made) <= PIECE and list(pd.concat(made)["k"]) == list(range(300)) and len(list(pieces([frame[:1]], "__text", 5))) == 1
+    sizes = []
+
+    class Rows:
+        dtypes = [("k", "bigint")]
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, f, _):
+            sizes.extend(len(x) for x in f(iter([frame])))
+
+    monkeypatch.setattr(tk.F, "col", lambda _: pd.Series(dtype=object, name="t"))
+    monkeypatch.setattr(pd.Series, "alias", lambda s, _: s, raising=False)
+    tk.token_rows(Rows(), "k", "t")
+    assert len(sizes) > 2 and sum(sizes) == 100 * 4000

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from textloom.functions import columns as tc
 from textloom.functions import markup as mk
 from textloom.functions import scan
+from textloom.functions.batches import pieces
 
 SCANNED = (
     "struct<units: array<struct<kind: string, start_offset: int, end_offset: int, raw_text: string, protected_text: string, "
@@ -22,10 +23,16 @@ SCANNED = (
 CONSTANT = {"source_file": None, "widget": None, "base_relation": None, "old_translation": None, "translation": None}
 
 
+def _pieces(parts: Iterable[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Columns a and b of batches, in pieces by the size of the texts in b."""
+    return pieces((pd.DataFrame({"a": a, "b": b}) for a, b in parts), "b")
+
+
 def _identifiers(passages: DataFrame) -> DataFrame:
     @F.pandas_udf("array<string>")
-    def keys(names: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted(mk.lookup_keys(n or "", t or "")) for n, t in zip(names, texts)], dtype=object)
+    def keys(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for frame in _pieces(parts):
+            yield pd.Series([sorted(mk.lookup_keys(n or "", t or "")) for n, t in zip(frame["a"], frame["b"])], dtype=object)
 
     return passages.select(F.explode(keys("name", "content")).alias("key")).distinct()
 
@@ -43,13 +50,14 @@ def scan_passages(passages: DataFrame) -> DataFrame:
     """
 
     @F.pandas_udf("array<string>")
-    def literals(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted(scan.literal_keys(t or "")) for t in texts], dtype=object)
+    def literals(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for frame in _pieces((t, t) for t in texts):
+            yield pd.Series([sorted(scan.literal_keys(t or "")) for t in frame["b"]], dtype=object)
 
     @F.pandas_udf(SCANNED)
     def scanned(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, known in parts:
-            rows = [scan.scan_passage(t or "", set(k) if k is not None else set()) for t, k in zip(texts, known)]
+        for frame in _pieces((known, texts) for texts, known in parts):
+            rows = [scan.scan_passage(t or "", set(k) if k is not None else set()) for k, t in zip(frame["a"], frame["b"])]
             yield pd.DataFrame({"units": [r.units for r in rows], "issues": [r.issues for r in rows], "code_blocks": [r.code_blocks for r in rows], "code_strings": [r.code_strings for r in rows], "reversible": [r.reversible for r in rows]})
 
     wanted = passages.select("passage_ord", F.explode(literals("content")).alias("key"))
