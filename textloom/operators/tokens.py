@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import markup as mk
+from textloom.functions.batches import pieces
 
 TOKEN = "ord int, kind string, start int, end int, name string, closing boolean"
 
@@ -19,7 +20,7 @@ def token_rows(passages: DataFrame, key: str, text: str, with_text: bool = False
     columns = [key, *(x.split(" ")[0] for x in TOKEN.split(", "))] + ["text"] * with_text
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in pieces(frames, "__text"):
             out: list[list] = [[] for _ in columns]
             for k, t in zip(frame[key], frame["__text"]):
                 found = mk.tokenize(t if isinstance(t, str) else "")
@@ -36,7 +37,7 @@ def depth_rows(passages: DataFrame, key: str, text: str) -> DataFrame:
     kind = dict(passages.dtypes)[key]
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in pieces(frames, "__text"):
             rows = [(k, n, x.kind, d) for k, t in zip(frame[key], frame["__text"]) for found in [mk.tokenize(t if isinstance(t, str) else "")] for n, (x, d) in enumerate(zip(found, mk.depths(found)))]
             yield pd.DataFrame(rows, columns=[key, "ord", "kind", "depth"])
 
@@ -65,7 +66,7 @@ def display_items(passages: DataFrame, key: str, text: str) -> DataFrame:
     kind = dict(passages.dtypes)[key]
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in pieces(frames, "__text"):
             rows = []
             for k, t in zip(frame[key], frame["__text"]):
                 n = 0
