@@ -128,11 +128,14 @@ def plan_migration(old: DataFrame, new: DataFrame) -> DataFrame:
     """(unit_id, outcome): safe, modified, suggestion, ambiguous, added for new segments, deleted for old ones.
 
     old, new: unit_id, source, translation.  A source that isn't blank and stands once on both sides is a suggestion.
+    Sources are only compared, so their sha256 goes through the shuffles in their place.
     """
+    digest = F.unhex(F.sha2("source", 256))
+    old, new = old.select("unit_id", digest.alias("source"), filled(F.col("source")).alias("on")), new.select("unit_id", digest.alias("source"))
     o = old.select("unit_id", F.col("source").alias("old_source"))
     by_id = new.join(o, "unit_id", "left")
     rest = by_id.where("old_source IS NULL").select("unit_id", "source")
-    loose_old = old.join(new.select("unit_id"), "unit_id", "left_anti").where(filled(F.col("source")))
+    loose_old = old.join(new.select("unit_id"), "unit_id", "left_anti").where("on")
     n_old = loose_old.groupBy("source").agg(F.count("*").alias("n_old"))
     n_new = rest.groupBy("source").agg(F.count("*").alias("n_new"))
     found = rest.join(n_old, "source", "left").join(n_new, "source", "left")
