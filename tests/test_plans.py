@@ -73,3 +73,32 @@ def test_scans_hold_pieces_of_a_batch(spark, monkeypatch):
     monkeypatch.setattr(pd.Series, "alias", lambda s, _: s, raising=False)
     tk.token_rows(Rows(), "k", "t")
     assert len(sizes) > 2 and sum(sizes) == 100 * 4000
+
+
+def test_migration_shuffles_no_sources(spark, sf_dir):
+    """Sides of joins and groups are dealt out by digests; the text ends where its digest is made."""
+    import re
+
+    plan = QUERIES["editor_migration"](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    text = [x for x in re.findall(r"(?:SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin|HashAggregate)\b[^\n]*", plan) if "raw_text" in x]
+    assert "sha2" in plan and not text, text[:2]
+
+
+def test_fingerprint_of_an_inventory_is_packed_before_one_task_reads_it(spark):
+    import hashlib
+    import random as r
+
+    from textloom.operators import inventory as inv
+
+    rng = r.Random(3)
+    units = [(f"{rng.randrange(50)}:{rng.choice(['a', 'é', chr(0x1F600), 'ﬀ'])}{rng.randrange(9)}", f"t{rng.randrange(5)}") for _ in range(2000)] + [("same", "t")] * 90
+    lines = sorted(f"{u}\0{hashlib.sha256(t.encode()).hexdigest()[:24]}".encode() for u, t in units)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 20)
+    try:
+        made = inv.inventory_fingerprint(spark.createDataFrame(units, "unit_id string, protected_text string").repartition(5))
+        assert made.collect()[0][0] == "sha256:" + hashlib.sha256(b"\n".join(lines)).hexdigest()[:32]
+        assert "RepartitionByExpression [line" in plan_of(made)
+    finally:
+        spark.conf.set(name, before)

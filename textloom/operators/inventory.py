@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -97,16 +98,23 @@ def histograms(rows: DataFrame) -> DataFrame:
 def inventory_fingerprint(rows: DataFrame) -> DataFrame:
     """sha256 over the sorted lines unit_id NUL protected_hash, 32 hex digits.
 
-    The lines of an inventory are one string by definition, so one task reads them all; it sorts them on disk if need be and holds one batch.
+    The lines of an inventory are one string by definition, so one task reads them all.  They are sorted and packed by ranges before, in many tasks;
+    what the one task sorts is a row for each batch of lines, by its first line, and it holds one of them unpacked.
     """
 
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for n, frame in enumerate(f for f in frames if len(f)):
+            yield pd.DataFrame({"first": [frame["line"].iat[0]], "n": [n], "data": [zlib.compress("\n".join(frame["line"]).encode(), 1)]})
+
     def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, lead = hashlib.sha256(), ""
+        total, lead = hashlib.sha256(), b""
         for frame in frames:
-            for x in frame["line"]:
-                total.update((lead + x).encode())
-                lead = "\n"
+            for x in frame["data"]:
+                total.update(lead)
+                total.update(zlib.decompress(x))
+                lead = b"\n"
         yield pd.DataFrame({"fingerprint": ["sha256:" + total.hexdigest()[:32]]})
 
     line = F.concat("unit_id", F.lit("\0"), tc.protected_hash(F.col("protected_text")))
-    return rows.select(line.alias("line")).repartition(1).sortWithinPartitions("line").mapInPandas(digest, "fingerprint string")
+    packed = rows.select(line.alias("line")).repartitionByRange("line").sortWithinPartitions("line").mapInPandas(pack, "first string, n long, data binary")
+    return packed.repartition(1).sortWithinPartitions("first", "n").mapInPandas(digest, "fingerprint string")
